@@ -1,0 +1,73 @@
+"""Where the stop series are too long for one task.
+
+Headways need every ping's predecessor at its stop, so a window over (route, stop) would sort a whole stop in one
+task. `measure` finds the stops that are too long for that and says how to cut them by time: into days, and the
+heaviest days into minutes. Pings in a minute that is still too heavy are mostly repeats of one another, so those are
+folded into one row with a count before they are shuffled (see `headway.previous_ping`).
+
+A group counts as heavy when it holds more than a fair share of all rows, 1 / shuffle partitions. At most as many
+groups as there are shuffle partitions can do so, which bounds what `measure` collects and what is broadcast later.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from headwise.config import DEFAULTS, ReliabilityConfig
+from headwise.functions import clock
+
+STOP = ["route_id", "stop_id"]
+DAY = [*STOP, "day"]
+MINUTE = [*STOP, "minute"]
+
+
+@dataclass(frozen=True)
+class HeavyGroups:
+    """Groups to cut. Each field is None when no group of that grain is heavy."""
+
+    stops: DataFrame | None = None  # route_id, stop_id, heavy_days
+    minutes: DataFrame | None = None  # route_id, stop_id, minute
+
+
+def measure(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> HeavyGroups:
+    """Count pings per stop and day (three columns, combined map-side) and pick the heavy groups."""
+    spark = pings.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    timed = pings.select(*STOP, clock.day_number(F.col("timestamp")).alias("day"), "timestamp")
+    per_day = timed.groupBy(DAY).agg(F.count(F.lit(1)).alias("n"))
+    fair = F.greatest(per_day.agg(F.sum("n") / partitions).scalar(), F.lit(cfg.split_rows))
+    stops = (
+        per_day.groupBy(STOP)
+        .agg(
+            F.sum("n").alias("n"),
+            F.collect_list(F.when(F.col("n") > fair, F.col("day"))).alias("heavy_days"),
+            F.first(fair).alias("fair"),
+        )
+        .where(F.col("n") > F.col("fair"))
+        .collect()
+    )
+    if not stops:
+        return HeavyGroups()
+    stop_table = spark.createDataFrame(
+        [(r.route_id, r.stop_id, r.heavy_days) for r in stops], "route_id string, stop_id string, heavy_days array<bigint>"
+    )
+    heavy_days = [(r.route_id, r.stop_id, day) for r in stops for day in r.heavy_days]
+    if not heavy_days:
+        return HeavyGroups(stops=stop_table)
+    day_table = spark.createDataFrame(heavy_days, "route_id string, stop_id string, day bigint")
+    minutes = (
+        timed.join(F.broadcast(day_table), DAY)
+        .groupBy(*STOP, clock.wall_minutes(F.col("timestamp")).alias("minute"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > F.lit(float(stops[0].fair)))
+        .select(MINUTE)
+        .collect()
+    )
+    if not minutes:
+        return HeavyGroups(stops=stop_table)
+    return HeavyGroups(
+        stops=stop_table, minutes=spark.createDataFrame(minutes, "route_id string, stop_id string, minute bigint")
+    )
