@@ -8,28 +8,34 @@ from pyspark.sql import functions as F
 from headwise.config import DEFAULTS, ReliabilityConfig
 from headwise.functions import clock
 from headwise.operators import skew
-from headwise.operators.skew import MINUTE, STOP, HeavyGroups
+from headwise.operators.skew import STOP, HeavyGroups
 
-# Arrival order at a stop. Input order does not exist in Spark, so equal timestamps are settled by the other columns.
+# Arrival order at a stop. Input order does not exist in Spark, so equal timestamps are settled by the other columns
+# that the reliability tables depend on. Pings equal in all of these are interchangeable.
 ARRIVAL_ORDER = [
     "timestamp",
     "vehicle_id",
-    "trip_id",
     "stop_sequence",
     "scheduled_headway_sec",
     "dwell_sec",
     "route_base_boardings",
 ]
+# Settles the rest where whole pings are returned.
+FULL_ORDER = [*ARRIVAL_ORDER, "date", "trip_id", "latitude", "longitude"]
 
-# What the reliability tables are computed from; position columns stay in the file.
+# What the reliability tables are computed from; trip and position columns stay in the file.
 METRIC_COLUMNS = [*STOP, "date", *ARRIVAL_ORDER]
 
 PREVIOUS = ["prev_timestamp", "prev_vehicle_id"]
-COPIES_PER_ROW = 10_000
+COPIES_PER_ROW = 100_000
+
+
+def _arrival_order(pings: DataFrame) -> list[str]:
+    return [name for name in FULL_ORDER if name in pings.columns]
 
 
 def _lag(pings: DataFrame, *series: str) -> DataFrame:
-    arrival = Window.partitionBy(*STOP, *series).orderBy(*ARRIVAL_ORDER)
+    arrival = Window.partitionBy(*STOP, *series).orderBy(*_arrival_order(pings))
     return pings.withColumns(
         {
             "prev_timestamp": F.lag("timestamp").over(arrival),
@@ -44,7 +50,7 @@ def _handover(sliced: DataFrame) -> DataFrame:
     return (
         sliced.where(F.col("slice").isNotNull())
         .groupBy(*STOP, "slice")
-        .agg(F.max(F.struct(*ARRIVAL_ORDER)).alias("last"))
+        .agg(F.max(F.struct("timestamp", "vehicle_id")).alias("last"))
         .select(
             *STOP,
             next_slice.alias("slice"),

@@ -13,15 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from headwise.config import DEFAULTS, ReliabilityConfig
 from headwise.functions import clock
 
 STOP = ["route_id", "stop_id"]
-DAY = [*STOP, "day"]
-MINUTE = [*STOP, "minute"]
 
 
 @dataclass(frozen=True)
@@ -33,41 +31,40 @@ class HeavyGroups:
 
 
 def measure(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> HeavyGroups:
-    """Count pings per stop and day (three columns, combined map-side) and pick the heavy groups."""
+    """Find heavy stops, then heavy days of those, then heavy minutes of those; mostly the first count ends it.
+
+    Each count reads only the key columns and is combined map-side.
+    """
     spark = pings.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    timed = pings.select(*STOP, clock.day_number(F.col("timestamp")).alias("day"), "timestamp")
-    per_day = timed.groupBy(DAY).agg(F.count(F.lit(1)).alias("n"))
-    fair = F.greatest(per_day.agg(F.sum("n") / partitions).scalar(), F.lit(cfg.split_rows))
-    stops = (
-        per_day.groupBy(STOP)
-        .agg(
-            F.sum("n").alias("n"),
-            F.collect_list(F.when(F.col("n") > fair, F.col("day"))).alias("heavy_days"),
-            F.first(fair).alias("fair"),
-        )
-        .where(F.col("n") > F.col("fair"))
-        .collect()
+    n = F.count(F.lit(1)).alias("n")
+    # No more groups than partitions can be heavy, so that many of the largest are enough.
+    largest = (
+        pings.groupBy(STOP).agg(n).where(F.col("n") > cfg.split_rows).orderBy(F.desc("n")).limit(partitions).collect()
     )
+    if not largest:
+        return HeavyGroups()
+    fair = max(cfg.split_rows, pings.count() / partitions)
+    stops = [Row(route_id=r.route_id, stop_id=r.stop_id) for r in largest if r.n > fair]
     if not stops:
         return HeavyGroups()
-    stop_table = spark.createDataFrame(
-        [(r.route_id, r.stop_id, r.heavy_days) for r in stops], "route_id string, stop_id string, heavy_days array<bigint>"
-    )
-    heavy_days = [(r.route_id, r.stop_id, day) for r in stops for day in r.heavy_days]
-    if not heavy_days:
-        return HeavyGroups(stops=stop_table)
-    day_table = spark.createDataFrame(heavy_days, "route_id string, stop_id string, day bigint")
-    minutes = (
-        timed.join(F.broadcast(day_table), DAY)
-        .groupBy(*STOP, clock.wall_minutes(F.col("timestamp")).alias("minute"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > F.lit(float(stops[0].fair)))
-        .select(MINUTE)
-        .collect()
-    )
-    if not minutes:
-        return HeavyGroups(stops=stop_table)
+    day, minute = clock.day_number(F.col("timestamp")), clock.wall_minutes(F.col("timestamp"))
+
+    def heavy(groups: list[Row], grain: Column, name: str) -> list[Row]:
+        inside = F.broadcast(spark.createDataFrame(groups))
+        candidates = pings.select(*STOP, day.alias("day"), "timestamp").join(inside, inside.columns, "left_semi")
+        counts = candidates.groupBy(*STOP, grain.alias(name)).agg(n)
+        return counts.where(F.col("n") > fair).select(*STOP, name).collect()
+
+    days = heavy(stops, day, "day")
+    minutes = heavy(days, minute, "minute") if days else []
+    by_stop: dict[tuple[str, str], list[int]] = {(r.route_id, r.stop_id): [] for r in stops}
+    for r in days:
+        by_stop[r.route_id, r.stop_id].append(r.day)
     return HeavyGroups(
-        stops=stop_table, minutes=spark.createDataFrame(minutes, "route_id string, stop_id string, minute bigint")
+        stops=spark.createDataFrame(
+            [(*stop, heavy_days) for stop, heavy_days in by_stop.items()],
+            "route_id string, stop_id string, heavy_days array<bigint>",
+        ),
+        minutes=spark.createDataFrame(minutes) if minutes else None,
     )

@@ -119,15 +119,10 @@ def decision_text(
     schedule: DataFrame,
     cfg: ReliabilityConfig = DEFAULTS,
 ) -> DataFrame:
-    """Cards as text. Schedule, peak band and network dwell come from the data.
-
-    At most `n_cards` cards are joined, so they are the broadcast side.
-    """
-    few = F.broadcast(cards)
-    wanted = F.broadcast(cards.select("route_id"))
+    """Cards as text. Schedule, peak band and network dwell come from the data."""
     detail = (
-        few.join(schedule.join(wanted, "route_id", "left_semi"), "route_id", "left")
-        .join(peak_band(events.join(wanted, "route_id", "left_semi")), "route_id", "left")
+        cards.join(schedule, "route_id", "left")
+        .join(peak_band(events), "route_id", "left")
         .withColumn("network_dwell", quantiles.median(segments, "mean_dwell_sec").scalar())
     )
     kind = F.col("card_type")

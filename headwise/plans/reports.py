@@ -15,12 +15,15 @@ FIX_FIRST = "which 5 routes should we fix first"
 ROUTE_CHANGE = "why did {} degrade this week"
 DAY_TYPES = "compare weekday vs weekend reliability"
 ROUTE_SCORE_PATTERN = r"\*\*([^*]+)\*\* \(Score: \*\*(\d+\.\d+)\*\*\)"
-TREND_PATTERN = r"Route \*\*([^*]+)\*\* .*?\(WoW trend: \*\*([+-]?\d+\.\d+)\*\*\)"
-CHANGE_PATTERN = r"Route \*\*([^*]+)\*\* .*?by \*\*(\d+\.\d+) points\*\*"
+CHANGE_PATTERN = (
+    r"Route \*\*([^*]+)\*\* saw .*? by \*\*(\d+\.\d+) points\*\* this week "
+    r"\(WoW trend: \*\*([+-]?\d+\.\d+)\*\*\)"
+)
 DAY_TYPE_PATTERN = (
     r"\| \*\*(Weekday|Weekend)\*\* \| \*\*(\d+\.\d+)\*\* \| \*\*(\d+\.\d+)%\*\* \| \*\*(\d+\.\d+)%\*\* \| "
     r"\*\*(\d+\.\d+)s\*\* \|"
 )
+DAY_TYPE_METRICS = ("avg_score", "bunching_pct", "gap_pct", "avg_dwell")
 TOLERANCE = 0.5
 
 
@@ -39,12 +42,11 @@ def fix_first(routes: DataFrame, segments: DataFrame, pings: DataFrame, n: int =
             "wow_trend",
         )
     )
-    # n routes only: they are the broadcast side wherever they meet a large table.
-    wanted = F.broadcast(worst.select("route_id"))
-    stops = metrics.worst_stop_per_route(segments.join(wanted, "route_id", "left_semi"))
-    schedule = serving.route_schedule(pings.join(wanted, "route_id", "left_semi"))
+    stops = metrics.worst_stop_per_route(segments)
+    schedule = serving.route_schedule(pings)
     bunched = F.col("bunching_pct") > F.col("gap_pct")
     rate = text.fixed(F.greatest("bunching_pct", "gap_pct"), 1)
+    # n rows, so they are the broadcast side of both joins.
     return (
         F.broadcast(worst)
         .join(stops, "route_id")
@@ -190,34 +192,38 @@ def answer_lookup(asked: DataFrame, answer_table: DataFrame) -> DataFrame:
     ).select("question", "question_key", "answer")
 
 
-def _found(answer_table: DataFrame, pattern: str, **groups: int) -> DataFrame:
-    """One row per match of the pattern, with the named groups as columns."""
-    lists = [F.regexp_extract_all("answer", F.lit(pattern), F.lit(g)).alias(name) for name, g in groups.items()]
-    return answer_table.select(F.inline(F.arrays_zip(*lists)))
-
-
 def reported_numbers(answer_table: DataFrame) -> DataFrame:
-    """Every reconcilable number in the answers: (kind, key, metric, reported)."""
+    """Every reconcilable number in the answers, found in one pass: (kind, key, metric, reported)."""
+
+    def found(pattern: str, kind: str, *names: str) -> Column:
+        """Group 1 of the pattern is the key, the groups after it are the named metrics."""
+        groups = range(1, len(names) + 2)
+        parts = [F.regexp_extract_all("answer", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
+
+        def numbers(match: Column) -> Column:
+            return F.array(
+                *[
+                    F.struct(
+                        F.lit(kind).alias("kind"),
+                        match["g1"].alias("key"),
+                        F.lit(name).alias("metric"),
+                        match[f"g{g}"].cast("double").alias("reported"),
+                    )
+                    for g, name in enumerate(names, 2)
+                ]
+            )
 
-    def rows(found: DataFrame, kind: str, metric: str, value: Column) -> DataFrame:
-        return found.select(
-            F.lit(kind).alias("kind"), "key", F.lit(metric).alias("metric"), value.cast("double").alias("reported")
-        )
+        return F.flatten(F.transform(F.arrays_zip(*parts), numbers))
 
-    scores = _found(answer_table, ROUTE_SCORE_PATTERN, key=1, value=2)
-    trends = _found(answer_table, TREND_PATTERN, key=1, value=2)
-    changes = _found(answer_table, CHANGE_PATTERN, key=1, value=2)
-    kinds = _found(
-        answer_table, DAY_TYPE_PATTERN, key=1, avg_score=2, bunching_pct=3, gap_pct=4, avg_dwell=5
-    )
-    found = (
-        rows(scores, "route", "reliability_score", F.col("value"))
-        .unionByName(rows(trends, "route", "wow_trend", F.col("value")))
-        .unionByName(rows(changes, "route", "abs_wow_trend", F.col("value")))
+    return answer_table.select(
+        F.inline(
+            F.concat(
+                found(ROUTE_SCORE_PATTERN, "route", "reliability_score"),
+                found(CHANGE_PATTERN, "route", "abs_wow_trend", "wow_trend"),
+                found(DAY_TYPE_PATTERN, "day_type", *DAY_TYPE_METRICS),
+            )
+        )
     )
-    for metric in ("avg_score", "bunching_pct", "gap_pct", "avg_dwell"):
-        found = found.unionByName(rows(kinds, "day_type", metric, F.col(metric)))
-    return found
 
 
 def reconcile(
@@ -231,7 +237,7 @@ def reconcile(
 
     trend = F.col("wow_trend")
     route_values = {"reliability_score": F.col("reliability_score"), "wow_trend": trend, "abs_wow_trend": F.abs(trend)}
-    day_values = {m: F.col(m) for m in ("avg_score", "bunching_pct", "gap_pct", "avg_dwell")}
+    day_values = {m: F.col(m) for m in DAY_TYPE_METRICS}
     actual = long(serving.on_latest_date(routes), "route", "route_id", route_values).unionByName(
         long(metrics.weekday_weekend(routes, segments), "day_type", "day_type", day_values)
     )

@@ -32,7 +32,7 @@ HEADWAYS = """
 lagged AS (
   SELECT *, epoch_us("timestamp") // 1000000 AS sec,
     lag(epoch_us("timestamp") // 1000000) OVER arrivals AS prev_sec, lag(vehicle_id) OVER arrivals AS prev_vehicle
-  FROM pings WINDOW arrivals AS (PARTITION BY route_id, stop_id ORDER BY "timestamp", vehicle_id, trip_id)),
+  FROM pings WINDOW arrivals AS (PARTITION BY route_id, stop_id ORDER BY "timestamp", vehicle_id, stop_sequence, dwell_sec)),
 all_headways AS (
   SELECT * EXCLUDE (sec, prev_sec, prev_vehicle),
     CASE WHEN vehicle_id = prev_vehicle THEN NULL ELSE sec - prev_sec END AS headway_sec,
@@ -488,7 +488,7 @@ def statements() -> dict[str, str]:
                 round(avg(CASE WHEN m < 2 THEN 1 ELSE 0 END), 6) AS bunching_rate,
                 round(avg(CASE WHEN m > 20 THEN 1 ELSE 0 END), 6) AS gap_rate
               FROM (SELECT route_id, (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (
-                  PARTITION BY route_id, stop_id ORDER BY "timestamp", vehicle_id, trip_id)) / 1e6 / 60.0::DOUBLE AS m
+                  PARTITION BY route_id, stop_id ORDER BY "timestamp", vehicle_id, stop_sequence, dwell_sec)) / 1e6 / 60.0::DOUBLE AS m
                 FROM pings) WHERE m IS NOT NULL GROUP BY route_id""",
         ),
         "route_headway_debug": (
