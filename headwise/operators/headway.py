@@ -173,7 +173,8 @@ def flagged_headways(
     pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None
 ) -> DataFrame:
     """Flagged valid headways with only the columns that the reliability tables need."""
-    return flag_anomalies(headways(pings.select(METRIC_COLUMNS), cfg, heavy), cfg)
+    flagged = flag_anomalies(headways(pings.select(METRIC_COLUMNS), cfg, heavy), cfg)
+    return flagged.drop("headway_sec", "scheduled_headway_sec")
 
 
 def anomaly_events(flagged: DataFrame) -> DataFrame:

@@ -16,14 +16,16 @@ def percentile(df: DataFrame, column: str, probability: float, accuracy: int = A
 
     An approximate summary brackets the wanted ranks. Values outside the bracket are pulled to its ends, which keeps
     their count and side, so after counting equal values only about 20 / accuracy of the rows are left to rank. The
-    bracket is ten times wider than the summary's error on either side.
+    bracket reaches ten times the summary's error, and at least ten ranks, to either side.
     """
     margin = 10.0 / accuracy
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    summary = F.percentile_approx(
+        "v", [max(0.0, probability - margin), min(1.0, probability + margin)], F.lit(accuracy)
+    )
+    # Up to `accuracy` rows are few enough to rank all of them.
     bracket = values.agg(
-        F.percentile_approx(
-            "v", [max(0.0, probability - margin), min(1.0, probability + margin)], F.lit(accuracy)
-        ).alias("b")
+        F.when(F.count("v") <= accuracy, F.array(F.min("v"), F.max("v"))).otherwise(summary).alias("b")
     ).scalar()
     clamped = values.select("v", bracket.alias("b")).select(
         F.greatest(F.col("b")[0], F.least("v", F.col("b")[1])).alias("v")

@@ -29,12 +29,19 @@ def table_path(output_dir: str, table: str) -> str:
 
 
 def publish(df: DataFrame, output_dir: str, table: str) -> None:
-    """Overwrite one table. REBALANCE gives files of a sensible size, whether the table is tiny or huge."""
-    by = [F.col("date")] if table in PARTITIONED_BY_DATE else []
-    writer = df.select(OUTPUT_TABLES[table].names).hint("rebalance", *by).write.mode("overwrite")
-    if by:
-        writer = writer.partitionBy("date")
-    writer.parquet(table_path(output_dir, table))
+    """Overwrite one table.
+
+    The two score tables are rebalanced into files of a sensible size; anomaly events are written as they come, which
+    needs no shuffle and keeps them clustered by route.
+    """
+    df = df.select(OUTPUT_TABLES[table].names)
+    path = table_path(output_dir, table)
+    if table in PARTITIONED_BY_DATE:
+        df.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(path)
+    elif table == ROUTE_SCORES:
+        df.hint("rebalance").write.mode("overwrite").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def read_table(spark: SparkSession, output_dir: str, table: str) -> DataFrame | None:
