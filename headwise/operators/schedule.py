@@ -12,6 +12,15 @@ SERVICE_START_SEC = 6 * 3600
 SERVICE_END_SEC = 22 * 3600
 
 
+def service_days(pings: DataFrame, days: int = 30) -> DataFrame:
+    """The calendar days up to the latest date with their number of pings, 0 for a day without any."""
+    counted = pings.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("pings"))
+    last = F.to_date(F.max("date"))
+    calendar = counted.agg(F.sequence(F.date_sub(last, days - 1), last).cast("array<string>").alias("days"))
+    calendar = calendar.select(F.explode("days").alias("date"))
+    return calendar.join(counted, "date", "left").select("date", F.coalesce("pings", F.lit(0)).alias("pings"))
+
+
 def expand_schedule(pings: DataFrame) -> DataFrame:
     """The planned departures of every route and date: one each scheduled headway, vehicles taking turns.
 

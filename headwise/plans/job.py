@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,12 +24,13 @@ class QualityError(RuntimeError):
 
 
 def scratch_dir(spark: SparkSession, output_dir: str) -> str:
-    """A new folder for this run in the shared checkpoint folder that the session names.
+    """This output's folder in the shared checkpoint folder that the session names; the next run replaces it.
 
     Only where the session names none (single-machine use) does it lie next to the output.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{output_dir.rstrip('/')}/_scratch"
-    return f"{shared.rstrip('/')}/headwise-{uuid.uuid4().hex}"
+    output_dir = output_dir.rstrip("/")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{output_dir}/_scratch"
+    return f"{shared.rstrip('/')}/headwise-{hashlib.sha256(output_dir.encode()).hexdigest()[:16]}"
 
 
 def _through_table(df: DataFrame, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from headwise.functions import clock
 
 def read_pings(spark: SparkSession, *paths: str) -> DataFrame:
     """Scan one or more Parquet directories, date-partitioned or flat."""
-    return normalize_pings(spark.read.option("recursiveFileLookup", "false").parquet(*paths))
+    return normalize_pings(spark.read.parquet(*paths))
 
 
 def normalize_pings(pings: DataFrame) -> DataFrame:
@@ -24,42 +24,40 @@ def normalize_pings(pings: DataFrame) -> DataFrame:
     """
     if "date" not in pings.columns:
         pings = pings.withColumn("date", clock.date_string(F.col("timestamp")))
-    return pings.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.PINGS]).where(
-        F.col("route_id").isNotNull() & F.col("stop_id").isNotNull() & F.col("timestamp").isNotNull()
-    )
+    typed = [f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.PINGS]
+    return pings.selectExpr(typed).where("route_id IS NOT NULL AND stop_id IS NOT NULL AND timestamp IS NOT NULL")
 
 
 def pings_from_events(events: DataFrame) -> DataFrame:
-    """Read a user event stream as pings: 20 routes with one stop per event type."""
-    number = F.col("user_id") % 20 + 1
-    padded = F.lpad(number.cast("string"), 3, "0")
-    whole_value = F.floor("value")
-    band = number % 3
-    # Position of each event type along the route.
-    sequence = (
-        F.when(F.col("event_type") == "click", 0)
-        .when(F.col("event_type") == "error", 1)
-        .when(F.col("event_type") == "purchase", 2)
-        .when(F.col("event_type") == "signup", 3)
-        .otherwise(4)
+    """Read a user event stream as pings: 20 routes with one stop per event type.
+
+    Fixed values: the id formats, the position of each event type along a route, the schedule and boardings bands.
+    """
+    numbered = events.selectExpr(
+        "ts",
+        "event_type",
+        "user_id",
+        "user_id % 20 + 1 AS n",
+        "lpad(string(user_id % 20 + 1), 3, '0') AS nnn",
+        "floor(value) AS whole",
+        "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
+        " AS seq",
+        "string(date(ts)) AS date",
     )
-    date = clock.date_string(F.col("ts"))
     return normalize_pings(
-        events.select(
-            F.col("ts").alias("timestamp"),
-            F.concat(
-                F.lit("BUS_"), padded, F.lit("_"), F.lpad((whole_value % 8).cast("string"), 2, "0")
-            ).alias("vehicle_id"),
-            F.concat(F.lit("RT-"), padded).alias("route_id"),
-            F.concat(F.lit("STOP_"), padded, F.lit("_"), F.col("event_type")).alias("stop_id"),
-            sequence.alias("stop_sequence"),
-            (F.lit(28.40) + number * F.lit(0.02) + sequence * F.lit(0.002)).alias("latitude"),
-            (F.lit(76.84) + number * F.lit(0.02) + sequence * F.lit(0.003)).alias("longitude"),
-            F.concat(F.lit("TRIP_"), F.col("user_id").cast("string"), F.lit("_"), date).alias("trip_id"),
-            (F.lit(3600) * (F.lit(4) + band * 2)).alias("scheduled_headway_sec"),
-            (whole_value + 15).alias("dwell_sec"),
-            F.when(band == 0, 2500).when(band == 1, 6000).otherwise(15000).alias("route_base_boardings"),
-            date.alias("date"),
+        numbered.selectExpr(
+            "ts AS timestamp",
+            "'BUS_' || nnn || '_' || lpad(string(whole % 8), 2, '0') AS vehicle_id",
+            "'RT-' || nnn AS route_id",
+            "'STOP_' || nnn || '_' || event_type AS stop_id",
+            "seq AS stop_sequence",
+            "28.40D + n * 0.02D + seq * 0.002D AS latitude",
+            "76.84D + n * 0.02D + seq * 0.003D AS longitude",
+            "'TRIP_' || string(user_id) || '_' || date AS trip_id",
+            "3600 * (4 + 2 * (n % 3)) AS scheduled_headway_sec",
+            "whole + 15 AS dwell_sec",
+            "CASE n % 3 WHEN 0 THEN 2500 WHEN 1 THEN 6000 ELSE 15000 END AS route_base_boardings",
+            "date",
         )
     )
 

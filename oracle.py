@@ -269,10 +269,7 @@ def statements() -> dict[str, str]:
         "route_scores": (base, f"SELECT {ROUTE_COLUMNS} FROM routes"),
         "anomaly_events": (base, f"""SELECT "timestamp", is_bunching, is_gap, {EVENT_COLUMNS} FROM anomalies"""),
         "leaderboard": (base, f"SELECT {ROUTE_COLUMNS} FROM latest"),
-        "leaderboard_by_headway": (
-            base,
-            f"SELECT {ROUTE_COLUMNS} FROM (FROM latest ORDER BY round(mean_headway, 9) DESC, route_id LIMIT 10)",
-        ),
+        "leaderboard_by_headway": (base, f"SELECT {ROUTE_COLUMNS} FROM latest ORDER BY mean_headway DESC"),
         "leaderboard_bands": (
             base,
             """SELECT route_id, round(reliability_score, 6) AS reliability_score,
@@ -521,6 +518,13 @@ def statements() -> dict[str, str]:
                 FROM pings GROUP BY ALL)
               WINDOW along AS (PARTITION BY route_id ORDER BY stop_sequence, stop_id)""",
         ),
+        "service_days": (
+            PINGS,
+            """SELECT strftime(d, '%Y-%m-%d') AS date, coalesce(n, 0) AS pings
+              FROM (SELECT unnest(generate_series(m - INTERVAL 29 DAY, m, INTERVAL 1 DAY)) AS d
+                FROM (SELECT CAST(max(date) AS TIMESTAMP) AS m FROM pings)) days
+              LEFT JOIN (SELECT CAST(date AS TIMESTAMP) AS d, count(*) AS n FROM pings GROUP BY 1) counted USING (d)""",
+        ),
         "schedule_expand": (
             PINGS,
             """SELECT route_id, date, trip_index, CAST(date AS TIMESTAMP)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import ROOT
 from headwise import schema
-from headwise.operators import headway, metrics
+from headwise.operators import headway, metrics, schedule
 from headwise.plans import job, reports
 from headwise.sources import pings as ping_source
 from headwise.sources import tables
@@ -121,7 +121,15 @@ def test_scratch_lies_in_the_shared_folder(spark, tmp_path):
     named = spark.conf.get("spark.checkpoint.dir", None)
     path = job.scratch_dir(spark, str(tmp_path))
     assert path.startswith(named if named else str(tmp_path))
-    assert path != job.scratch_dir(spark, str(tmp_path))
+    assert path == job.scratch_dir(spark, f"{tmp_path}/") != job.scratch_dir(spark, f"{tmp_path}/other")
+
+
+def test_pings_of_other_types_are_cast(spark, network, tmp_path):
+    wide = network.pings.withColumns(
+        {"stop_sequence": F.col("stop_sequence").cast("bigint"), "dwell_sec": F.col("dwell_sec").cast("int")}
+    )
+    wide.drop("date").write.parquet(str(tmp_path / "flat"))
+    assert rows(ping_source.read_pings(spark, str(tmp_path / "flat"))) == rows(network.pings)
 
 
 def test_daily_metrics_scan_only_what_they_need(spark, ping_dir):
@@ -151,5 +159,12 @@ def test_anomalies_need_no_shuffle(network, spark, tmp_path):
     assert "Exchange" not in events._jdf.queryExecution().executedPlan().toString()
 
 
+def test_service_days_include_empty_ones(network):
+    pings = network.pings.where("date NOT IN ('2024-01-29', '2024-01-30') AND date != '2024-01-20'")
+    days = {r.date: r.pings for r in schedule.service_days(pings, days=10).collect()}
+    assert len(days) == 10 and max(days) == "2024-01-28" and days["2024-01-20"] == 0
+    assert days["2024-01-28"] == pings.where("date = '2024-01-28'").count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

