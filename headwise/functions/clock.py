@@ -9,28 +9,27 @@ from pyspark.sql import functions as F
 DAY_SEC = 86400
 
 
-def day_number(ts: Column) -> Column:
-    """Days since 1970-01-01."""
-    return F.unix_date(F.to_date(ts)).cast("bigint")
-
-
-def second_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+def wall_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970-01-01 00:00, rounded down."""
+    # unix_timestamp is the fast way, but rounds up before 1970.
+    by_fields = F.unix_date(F.to_date(ts)).cast("bigint") * DAY_SEC + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    since_1970 = ts >= F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.when(since_1970, F.unix_timestamp(ts)).otherwise(by_fields)
 
 
-def wall_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970-01-01 00:00, fractions dropped."""
-    return day_number(ts) * DAY_SEC + second_of_day(ts)
+def day_number(ts: Column) -> Column:
+    """Days since 1970-01-01."""
+    return F.floor(wall_seconds(ts) / F.lit(DAY_SEC))
 
 
-def wall_minutes(ts: Column) -> Column:
-    return day_number(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+def minute_number(ts: Column) -> Column:
+    """Minutes since 1970-01-01 00:00."""
+    return F.floor(wall_seconds(ts) / F.lit(60))
 
 
-def wall_micros(ts: Column) -> Column:
-    second = F.extract(F.lit("SECOND"), ts)  # decimal with the fraction
-    minutes = wall_minutes(ts) * F.lit(60_000_000).cast("bigint")
-    return minutes + (second * 1_000_000).cast("bigint")
+def seconds_between(earlier: str, later: str) -> Column:
+    """Difference of two timestamp columns, exact to the microsecond."""
+    return F.expr(f"CAST(CAST(CAST({later} - {earlier} AS INTERVAL SECOND) AS DECIMAL(18, 6)) AS DOUBLE)")
 
 
 def date_string(ts: Column) -> Column:
@@ -38,7 +37,7 @@ def date_string(ts: Column) -> Column:
 
 
 def hour_fraction(ts: Column) -> Column:
-    return second_of_day(ts) / F.lit(3600.0)
+    return F.pmod(wall_seconds(ts), F.lit(DAY_SEC)) / F.lit(3600.0)
 
 
 def is_peak(hour: Column) -> Column:

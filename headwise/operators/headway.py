@@ -80,7 +80,7 @@ def _slice(pings: DataFrame, heavy: HeavyGroups) -> DataFrame:
     """Number the time slices of heavy stops: the first minute of a day, or the minute inside a heavy day."""
     day = clock.day_number(F.col("timestamp"))
     by_minute = F.array_contains("heavy_days", day)
-    number = F.when(by_minute, clock.wall_minutes(F.col("timestamp"))).otherwise(day * 1440)
+    number = F.when(by_minute, clock.minute_number(F.col("timestamp"))).otherwise(day * 1440)
     return (
         pings.join(F.broadcast(heavy.stops), STOP, "left")
         .withColumn("slice", F.when(F.col("heavy_days").isNotNull(), number))

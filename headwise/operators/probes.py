@@ -20,11 +20,10 @@ def route_stats_fixed(
 ) -> DataFrame:
     """Route statistics over plain arrival differences: no vehicle rule, fixed thresholds, exact to the microsecond."""
     arrivals = headway.previous_ping(pings.select(*headway.STOP, *headway.ARRIVAL_ORDER), cfg, heavy)
-    micros = clock.wall_micros(F.col("timestamp")) - clock.wall_micros(F.col("prev_timestamp"))
     minutes = F.col("headway_min")
     return (
-        arrivals.withColumn("headway_min", micros / F.lit(1e6) / F.lit(60.0))
-        .where(minutes.isNotNull())
+        arrivals.where(F.col("prev_timestamp").isNotNull())
+        .withColumn("headway_min", clock.seconds_between("prev_timestamp", "timestamp") / F.lit(60.0))
         .groupBy("route_id")
         .agg(
             F.avg(minutes).alias("mean_headway"),

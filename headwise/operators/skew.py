@@ -48,7 +48,7 @@ def measure(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> HeavyGroups:
     stops = [Row(route_id=r.route_id, stop_id=r.stop_id) for r in largest if r.n > fair]
     if not stops:
         return HeavyGroups()
-    day, minute = clock.day_number(F.col("timestamp")), clock.wall_minutes(F.col("timestamp"))
+    day, minute = clock.day_number(F.col("timestamp")), clock.minute_number(F.col("timestamp"))
 
     def heavy(groups: list[Row], grain: Column, name: str) -> list[Row]:
         inside = F.broadcast(spark.createDataFrame(groups))
