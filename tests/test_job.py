@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from conftest import ROOT
 from headwise import schema
 from headwise.operators import headway, metrics, schedule
-from headwise.plans import job, reports
+from headwise.plans import job, reports, serving
 from headwise.sources import pings as ping_source
 from headwise.sources import tables
 
@@ -168,3 +168,11 @@ def test_service_days_include_empty_ones(network):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_latest_date_prunes_published_segments(spark, output_dir):
+    worst = serving.worst_segments(tables.read_table(spark, output_dir, tables.SEGMENT_METRICS))
+    plan = worst._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "date" in filters and "subquery" in filters.lower()
+    assert worst.count() == 10
