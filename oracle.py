@@ -245,6 +245,10 @@ def _reconciled(source: str, kind: str, key: str, metric: str, value: str) -> st
     )
 
 
+def _report(header: str, lines: str, end: str = "") -> str:
+    return f"SELECT E'{header}\\n' || string_agg(line, E'\\n' ORDER BY line_no) || E'{end}' AS report FROM ({lines})"
+
+
 def statements() -> dict[str, str]:
     """SQL by query name."""
     base = ",".join(TABLES)
@@ -306,12 +310,12 @@ def statements() -> dict[str, str]:
         ),
         "worst_segments_report": (
             base,
-            """SELECT CAST(place AS INTEGER) AS line_no, place || '. Route ' || route_id || ', Segment ' || stop_id
+            _report("Worst Performing Route Segments:", """SELECT place AS line_no, place || '. Route ' || route_id || ', Segment ' || stop_id
                 || ': Reliability Score: ' || printf('%.2f', round(reliability_score, 2)) || ', Trips: ' || total_trips
                 || ', Bunching Rate: ' || printf('%.1f', round(bunching_rate * 100, 1)) || '%, Gap Rate: '
                 || printf('%.1f', round(gap_rate * 100, 1)) || '%' AS line
               FROM (SELECT *, row_number() OVER (ORDER BY round(reliability_score, 9), route_id, stop_id) AS place
-                FROM segments WHERE date = (SELECT max(date) FROM segments)) WHERE place <= 5""",
+                FROM segments WHERE date = (SELECT max(date) FROM segments)) WHERE place <= 5"""),
         ),
         "anomalies_recent": (
             base, f"SELECT {EVENT_COLUMNS} FROM (SELECT * FROM anomalies {NEWEST} LIMIT 100)"
@@ -323,12 +327,12 @@ def statements() -> dict[str, str]:
         ),
         "anomaly_explain": (
             base,
-            f"""SELECT CAST(n AS INTEGER) AS line_no, '- Time: ' || timestamp_str || ' | Vehicle: ' || vehicle_id
+            _report(f"Recent anomaly events for {ROUTE}:", f"""SELECT n AS line_no, '- Time: ' || timestamp_str || ' | Vehicle: ' || vehicle_id
                 || ' | Stop: ' || stop_id || ' (Seq ' || stop_sequence || ') | Type: ' || upper(anomaly_type)
                 || ' (Headway: ' || printf('%.1f', round(headway_min, 1)) || ' min vs Scheduled: '
                 || printf('%.1f', round(scheduled_headway_min, 1)) || ' min)' AS line
               FROM (SELECT *, row_number() OVER ({NEWEST}) AS n FROM anomalies WHERE route_id = '{ROUTE}')
-              WHERE n <= 5""",
+              WHERE n <= 5"""),
         ),
         "compare_periods": (
             base,
@@ -337,11 +341,12 @@ def statements() -> dict[str, str]:
         ),
         "compare_periods_report": (
             base,
-            f"""SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS line_no, '- Date: ' || date
+            _report(f"Comparison of Route {ROUTE} between {FIRST_DAY} and {SECOND_DAY}:", f"""SELECT
+                date AS line_no, '- Date: ' || date
                 || ': Reliability: ' || printf('%.2f', round(reliability_score, 2)) || ', Headway: '
                 || printf('%.1f', round(mean_headway, 1)) || ' min, Bunching: ' || bunching_count || ', Gaps: '
                 || gap_count AS line
-              FROM routes WHERE {COMPARED} AND (SELECT count(*) FROM routes WHERE {COMPARED}) = 2""",
+              FROM routes WHERE {COMPARED}""", end="\\n"),
         ),
         "route_latest": (
             base,

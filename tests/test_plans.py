@@ -218,8 +218,22 @@ def test_unknown_route_gives_no_rows(spark):
 
 def test_comparison_text_needs_both_dates(spark):
     _, scores = network(spark, 12)
-    assert serving.compare_periods_report(scores, "RT-001", "2024-01-01", "2024-01-02").count() == 2
-    assert serving.compare_periods_report(scores, "RT-001", "2024-01-01", "2024-02-02").count() == 0
+    both = serving.compare_periods_report(scores, "RT-001", "2024-01-01", "2024-01-02").first().report
+    lines = both.split("\n")
+    assert lines[0] == "Comparison of Route RT-001 between 2024-01-01 and 2024-01-02:"
+    assert [line[:20] for line in lines[1:]] == ["- Date: 2024-01-01: ", "- Date: 2024-01-02: ", ""]
+    one = serving.compare_periods_report(scores, "RT-001", "2024-01-01", "2024-02-02").first().report
+    assert one.startswith("Compare error: Could not find data for route RT-001")
+
+
+def test_texts_for_missing_data(spark):
+    segments, _ = network(spark, 13)
+    empty = spark.createDataFrame([], schema.ANOMALIES)
+    assert serving.anomaly_explain(empty, "RT-001").first().report == "No recent anomalies recorded for RT-001."
+    none = serving.worst_segments_report(segments.where("false")).first().report
+    assert none == "No segment metrics available in the database."
+    worst = serving.worst_segments_report(segments, 3).first().report.split("\n")
+    assert len(worst) == 4 and worst[1].startswith("1. Route RT-")
 
 
 def test_nan_becomes_null(spark):
