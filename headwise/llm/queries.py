@@ -7,25 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import near_dedup, substring_dedup
+from headwise.llm import chat_format, decontaminate, near_dedup, source_mix, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return scanned.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": perspectives,
+    "op2_source_mix": mixture,
     "op3_near_dedup": near_duplicates,
+    "op4_decontaminate": contamination,
     "op10_substring_dedup": substrings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE,
+    "op2_source_mix": source_mix.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
+}
