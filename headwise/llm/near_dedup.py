@@ -2,9 +2,10 @@
 
 A document is the set of its word shingles. Equal sets are one *class*, named by its smallest doc_id, before anything is
 compared. A tree puts every class into the node of one minwise token of its set; a node that is still large branches by
-two further tokens, chosen by the node's name, into smaller ones. Two sets of similarity s share each chosen token with
-probability s. Small nodes are compared exhaustively on full sets; independent trees are repeated until a link is missed
-with a probability below about 1e-5 (see `TREES`).
+a further token, chosen by the node's name, into smaller ones. Two sets of similarity s share each chosen token with
+probability s. Small nodes are compared exhaustively: pairs whose minwise tokens could belong to linked sets are
+confirmed on full sets, and only for these are texts fetched. Independent trees are repeated until a link is missed with
+a small probability (see `TREES`).
 
 Only connections matter for components, so a node is looked at only while it spans several components, and a comparison
 is made only between different ones. Groups of near copies never become small nodes: after `DEPTH` branchings a large
@@ -27,13 +28,14 @@ from headwise.llm import hashing, storage
 SHINGLE = 5
 #: Minwise tokens of a set, four bytes each.
 TOKENS = 64
-#: Trees of each round. At a similarity of 0.85 one tree finds a pair with a probability of at least 0.81.
+#: Trees of each round. At a similarity of 0.85 a tree brings a pair together with a probability of 0.85, after DEPTH
+#: branchings of a large node still of 0.61, so eight miss it with 3e-7 and 5e-4.
 TREES = (range(0, 2), range(2, 8))
-DEPTH = 3
+DEPTH = 2
 #: Classes that are compared at once, and pivots that each block of a large node gets besides.
 LEAF, PIVOTS = 64, 3
 #: A pair goes to exact comparison if this many minwise tokens agree; 0.85 expects 54 with a deviation of 2.9.
-AGREE = 38
+AGREE = 42
 #: Rows given to one call.
 TASK_ROWS = 512
 
@@ -81,15 +83,14 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _token(i: Column | int) -> Column:
-    position = i * 4 + 1
-    return F.substring("tokens", position, 4) if isinstance(i, int) else F.col("tokens").substr(position, F.lit(4))
+def _token(i: Column) -> Column:
+    return F.col("tokens").substr(i * 4 + 1, F.lit(4))
 
 
-def _child(node: Column, way: int) -> Column:
-    """The node below: the way-th token that `node` chooses."""
-    at = F.pmod(F.xxhash64(node, F.lit(way)), F.lit(TOKENS)).cast("int")
-    return F.xxhash64(node, F.lit(way), _token(at))
+def _child(node: Column) -> Column:
+    """The node below: the token that `node` chooses."""
+    at = F.pmod(F.xxhash64(node, F.lit("child")), F.lit(TOKENS)).cast("int")
+    return F.xxhash64(node, _token(at))
 
 
 def _spanning(nodes: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def _nodes(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame]:
     """Members of the small nodes and of the large ones after all branchings: node, class, component."""
     columns = ["node", "class", "component"]
     level = classes.select(
-        F.explode(F.array(*[F.xxhash64(F.lit(t), _token(t * 7 % TOKENS)) for t in trees])).alias("node"),
+        F.explode(F.array(*[F.xxhash64(F.lit(t), _token(F.lit(t * 7 % TOKENS))) for t in trees])).alias("node"),
         "class", "component",
     )
     small: list[DataFrame] = []
@@ -114,8 +115,8 @@ def _nodes(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame]:
         large = level.where(F.col("members") > LEAF).select("members", *columns)
         if depth == DEPTH or large.isEmpty():
             break
-        children = F.explode(F.array(_child(F.col("node"), 1), _child(F.col("node"), 2))).alias("node")
-        level = large.join(classes.select("class", "tokens"), "class").select(children, "class", "component")
+        child = _child(F.col("node")).alias("node")
+        level = large.join(classes.select("class", "tokens"), "class").select(child, "class", "component")
     leaves = small[0]
     for more in small[1:]:
         leaves = leaves.unionByName(more)
@@ -163,13 +164,33 @@ def _block_pairs(large: DataFrame) -> DataFrame:
     )
 
 
+def _alike(node: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member, the later ones of other components whose minwise tokens agree often enough."""
+    table = np.stack([np.frombuffer(x, "<u4") for x in node["tokens"]])
+    component = node["component"].to_numpy()
+    for i in range(len(table) - 1):
+        agree = (table[i + 1 :] == table[i]).sum(axis=1) >= AGREE
+        yield i, np.flatnonzero(agree & (component[i + 1 :] != component[i])) + i + 1
+
+
+def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Members of nodes that have anyone to be compared with."""
+    kept = []
+    for _, node in rows.groupby("node", sort=False):
+        seen = np.zeros(len(node), bool)
+        for i, near in _alike(node):
+            seen[near] = True
+            seen[i] |= len(near) > 0
+        kept.append(node[seen])
+    return pd.concat(kept)[["node", "class", "component", "tokens"]]
+
+
 def _compare(percent: int):
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between components, enough to connect all that are linked inside each node."""
         links: list[tuple[int, int]] = []
         known: dict[int, np.ndarray] = {}
-        first = rows.drop_duplicates("class")
-        text, tokens = dict(zip(first["class"], first["text"], strict=True)), dict(zip(first["class"], first["tokens"], strict=True))
+        text = dict(zip(rows["class"], rows["text"], strict=True))
 
         def members(c: int) -> np.ndarray:
             if c not in known:
@@ -177,18 +198,15 @@ def _compare(percent: int):
             return known[c]
 
         for _, node in rows.groupby("node", sort=False):
-            names = node["class"].to_numpy()
-            root = {c: c for c in node["component"]}
+            names, component = node["class"].tolist(), node["component"].tolist()
+            root = {c: c for c in component}
 
-            def top(c: int) -> int:
+            def top(c: int, root: dict = root) -> int:
                 while root[c] != c:
                     root[c] = c = root[root[c]]
                 return c
 
-            component = node["component"].tolist()
-            table = np.stack([np.frombuffer(tokens[c], "<u4") for c in names])
-            for i in range(len(names) - 1):
-                near = np.flatnonzero((table[i + 1 :] == table[i]).sum(axis=1) >= AGREE) + i + 1
+            for i, near in _alike(node):
                 for j in near.tolist():
                     a, b = top(component[i]), top(component[j])
                     if a == b:
@@ -203,14 +221,21 @@ def _compare(percent: int):
     return compared
 
 
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """Whole nodes dealt over tasks of about TASK_ROWS members."""
+    tasks = max(1, nodes.count() // TASK_ROWS)
+    return nodes.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+
+
 def _links(nodes: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links found inside the nodes: left, right (components)."""
-    wanted = nodes.select("class").distinct()
-    content = wanted.join(texts, "class").join(classes.select("class", "tokens"), "class")
-    rows = nodes.join(content, "class")
-    tasks = max(1, nodes.count() // TASK_ROWS)
-    dealt = rows.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(_compare(percent), "left long, right long").distinct()
+    rows = _dealt(nodes).join(classes.select("class", "tokens"), "class")
+    candidates = storage.staged(
+        rows.groupBy("task").applyInPandas(_candidates, "node long, class long, component long, tokens binary"), "candidates"
+    )
+    content = texts.join(candidates.select("class").distinct(), "class").dropDuplicates(["class"])
+    pairs = _dealt(candidates).join(content, "class")
+    return pairs.groupBy("task").applyInPandas(_compare(percent), "left long, right long").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:

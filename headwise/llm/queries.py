@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import chat_format, decontaminate, near_dedup, source_mix, substring_dedup
+from headwise.llm import chat_format, decontaminate, line_dedup, near_dedup, quality_rules, source_mix, storage, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,28 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{storage.folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    ids = token_files.read(spark, path)
+    return ids.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_runs(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": mixture,
     "op3_near_dedup": near_duplicates,
     "op4_decontaminate": contamination,
+    "op7_token_files": token_ids,
+    "op8_line_dedup": lines,
+    "op9_quality_rules": quality,
     "op10_substring_dedup": substrings,
 }
 
@@ -53,4 +80,5 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op2_source_mix": source_mix.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
