@@ -9,7 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import chat_format, decontaminate, line_dedup, near_dedup, quality_rules, source_mix, storage, substring_dedup, token_files
+from headwise.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    line_dedup,
+    near_dedup,
+    quality_rules,
+    source_mix,
+    storage,
+    substring_dedup,
+    token_files,
+    toxicity,
+    training,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +51,21 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", training.held_out(3, 1))
+    model = language_id.train(documents.where("not held_out"))
+    return documents.select("doc_id", "held_out", language_id.predict(F.col("text"), model).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score"
+    )
+
+
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", training.held_out(4, 2))
+    model = toxicity.train(documents.where("not held_out"), _table(spark, sf_dir, "labels"))
+    scored = documents.select("doc_id", "held_out", toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{storage.folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -70,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": mixture,
     "op3_near_dedup": near_duplicates,
     "op4_decontaminate": contamination,
+    "op5_language_id": languages,
+    "op6_toxicity": toxic_documents,
     "op7_token_files": token_ids,
     "op8_line_dedup": lines,
     "op9_quality_rules": quality,

@@ -177,6 +177,7 @@ def _tokenized(path: str):
         part, block, offset = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
+        filled = 0
 
         def row() -> pd.DataFrame:
             flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids], "<u4")
@@ -188,12 +189,13 @@ def _tokenized(path: str):
             for begin in range(0, len(batch), 200):
                 texts = tokenizer(path).encode(batch["text"].iloc[begin : begin + 200].tolist())
                 for name, own in zip(names[begin : begin + 200], texts, strict=True):
-                    if ids and sum(map(len, ids)) + len(own) > BLOCK_IDS:
+                    if ids and filled + len(own) > BLOCK_IDS:
                         yield row()
-                        block, offset = block + 1, offset + sum(map(len, ids))
-                        ids, docs = [], []
+                        block, offset = block + 1, offset + filled
+                        ids, docs, filled = [], [], 0
                     ids.append(own)
                     docs.append(name)
+                    filled += len(own)
         if ids:
             yield row()
 
