@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headwise.llm import storage
+from headwise.llm import storage, training
 
 #: Slots of the frequency table are 2 ** PRECISION; every id of the vocabulary has one at least.
 PRECISION = 20
@@ -145,17 +146,16 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.size = max(self.library.get_vocab_size(), END_ID + 1)
-        self.memo: dict[str, list[int]] = {}
+        self.memo = training.Memo(self.MEMO, self._ids)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, closed by END_ID."""
         pieces = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({p for own in pieces for p in own if p not in memo})
-        memo.update(zip(new, (e.ids for e in self.library.encode_batch(new, add_special_tokens=False)), strict=True))
-        return [np.array([i for p in own for i in memo[p]] + [END_ID], np.uint32) for own in pieces]
+        memo, end = self.memo.lookup(pieces), array("I", [END_ID]).tobytes()
+        return [np.frombuffer(b"".join([memo[p] for p in own]) + end, np.uint32) for own in pieces]
 
 
 _tokenizers: dict[str, Tokenizer] = {}

@@ -26,8 +26,8 @@ TRAIN_DOCUMENTS, CANDIDATES, LANDMARKS = 4_000, 300, 40
 LENGTH, DECAY = 3, 0.7
 #: Kernel values below this count as none, which leaves most words without any.
 FLOOR = 0.55
-#: A word is compared if it shares so many character pairs (with up to GAP characters between) with a landmark.
-PAIRS, GAP = 4, 3
+#: A word is compared if it has this share of a landmark's character pairs (with up to GAP characters between).
+PAIRS, GAP = 0.5, 3
 #: Characters of a word that are compared (its other parts are words of their own), and words remembered.
 PIECE, MEMO = 16, 200_000
 #: Stands before every word, so that beginnings are alike only to beginnings.
@@ -116,16 +116,24 @@ def similarity(words: list[str], landmarks: list[str], scale: np.ndarray) -> np.
         return np.zeros((len(words), len(landmarks)), np.float32)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     shared: dict[str, list[int]] = {}
+    enough = []
     for k, landmark in enumerate(landmarks):
-        for pair in _pairs(landmark):
+        pairs = _pairs(landmark)
+        enough.append(PAIRS * len(pairs))
+        for pair in pairs:
             shared.setdefault(pair, []).append(k)
 
+    keys, least = set(shared), min(enough)
+
     def compared(word: str) -> bool:
         seen: dict[int, int] = {}
-        for pair in _pairs(word):
-            for k in shared.get(pair, ()):
+        found = _pairs(word) & keys
+        if len(found) < least:
+            return False
+        for pair in found:
+            for k in shared[pair]:
                 seen[k] = seen.get(k, 0) + 1
-                if seen[k] >= PAIRS:
+                if seen[k] >= enough[k]:
                     return True
         return False
 
@@ -153,47 +161,39 @@ class Sentences:
 
     def __init__(self, landmarks: list[str], scale: np.ndarray):
         self.landmarks, self.scale = landmarks, scale
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.rows = [np.zeros((1, len(self.landmarks)), np.float32)]  # row 0: a word like no landmark
+        self.memo = training.Memo(MEMO, self._places)
+        self.rows = [np.zeros((1, len(landmarks)), np.float32)]  # row 0: a word like no landmark
         self.size = 1
 
-    def learn(self, found: set[str]) -> None:
-        if len(self.memo) + len(found) > MEMO:
-            self.clear()
-        new = list(found)
+    def _places(self, new: list[str]) -> list[int]:
+        """Rows of the tokens."""
         pieces = [plain(x) for x in new]
         flat = similarity([p for own_ in pieces for p in own_], self.landmarks, self.scale)
-        at = 0
-        for token, own_ in zip(new, pieces, strict=True):
-            value = flat[at : at + len(own_)].max(axis=0, initial=0)
+        places, at = [], 0
+        for own_ in pieces:
+            value = flat[at : at + len(own_)]
             at += len(own_)
             if value.any():
-                self.memo[token] = self.size
-                self.rows.append(value[None])
+                self.rows.append(value.max(axis=0)[None])
                 self.size += 1
-            else:
-                self.memo[token] = 0
+            places.append(self.size - 1 if value.any() else 0)
+        return places
 
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text, the vectors of its sentences that are like any landmark (maybe none)."""
-        split = [tokens(x) for x in texts]
-        new = {x for own_ in split for x in own_ if x not in self.memo}
-        if len(self.memo) + len(new) > MEMO:
-            self.clear()
-            new = {x for own_ in split for x in own_}
-        self.learn(new)
+        split = [tokens(x and x.lower()) for x in texts]
+        if self.size > MEMO // 4:
+            self.__init__(self.landmarks, self.scale)
+        memo = self.memo.lookup(split)
         self.rows = [np.concatenate(self.rows)]
         table = self.rows[0]
         for own_ in split:
-            ids = np.array([self.memo[x] for x in own_], np.int64)
+            ids = np.array([memo[x] for x in own_], np.int64)
             like = np.flatnonzero(ids)
             if not len(like):
                 yield np.zeros((0, table.shape[1]), np.float32)
                 continue
-            ends = np.array([x[-1] in ".!?" for x in own_], np.int64)
+            ends = np.array([x[-1] in ".!?" for x in own_[: like[-1] + 1]], np.int64)
             sentence = np.cumsum(ends)[like] - ends[like]
             first = np.flatnonzero(np.diff(sentence, prepend=-1))
             yield np.maximum.reduceat(table[ids[like]], first, axis=0)

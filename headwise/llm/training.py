@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,23 @@ def sample(rows: DataFrame, most: int) -> DataFrame:
     """About `most` of the rows (all, if there are fewer): those with the smallest hashes of their doc_id."""
     share = min(1.0, most / max(rows.count(), 1))
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+class Memo:
+    """Values of tokens, computed for many at once and remembered; what was used lately survives when room runs out."""
+
+    def __init__(self, size: int, compute: Callable[[list[str]], list]):
+        self.size, self.compute = size, compute
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def lookup(self, lists: list[list[str]]) -> dict:
+        """A dict with the values of all tokens in the lists."""
+        if len(self.recent) > self.size:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        missing = {x for own in lists for x in own if x not in recent}
+        new = [x for x in missing if x not in older]
+        recent.update((x, older[x]) for x in missing if x in older)
+        recent.update(zip(new, self.compute(new), strict=True))
+        return recent
