@@ -20,6 +20,8 @@ BROADCAST_WINDOWS = 100_000
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same in a text that isn't lower-cased.
+_ANY_NO_WORD, _ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def words(text: Column) -> Column:
@@ -104,11 +106,11 @@ def without_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, without the words that are hit and what separates them from the next word."""
-    pieces = F.regexp_extract_all("text", F.lit(f"({_WORD}+{NO_WORD}*)"), 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"({_ANY_WORD}+{_ANY_NO_WORD}*)"), 1)
     kept = F.filter(
         pieces, lambda _, i: ~F.exists("hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["size"]))
     )
-    lead = F.regexp_extract("text", f"^({NO_WORD}*)", 1)
+    lead = F.regexp_extract("text", f"^({_ANY_NO_WORD}*)", 1)
     text = F.when(F.size("hits") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(F.col("text"))
     return scan(documents, benchmark).withColumn("text", text).select(documents.columns)
 
