@@ -16,7 +16,6 @@ class ReliabilityConfig:
     rate_cap: float = 0.5  # a rate of 50 % already earns the full penalty
     wow_lag_rows: int = 7
     min_trips: int = 80  # support needed before a stop may get a decision card
-    pool_size: int = 1000  # decision cards pick from this many worst stops
     n_cards: int = 8
     affected_share: float = 0.12  # share of boardings a decision card claims
     report_share: float = 0.15  # share of boardings the route report claims

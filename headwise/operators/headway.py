@@ -189,5 +189,5 @@ def anomaly_events(flagged: DataFrame) -> DataFrame:
         "is_bunching",
         "is_gap",
         F.when(F.col("is_bunching"), "bunching").otherwise("gap").alias("anomaly_type"),
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp_str"),
+        F.substring(F.col("timestamp").cast("string"), 1, 19).alias("timestamp_str"),
     )

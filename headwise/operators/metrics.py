@@ -71,9 +71,9 @@ def segments_from_pings(
     return segment_metrics(headway.flagged_headways(pings, cfg, heavy), cfg)
 
 
-def segment_rollup(segments: DataFrame, min_trips: int = 80, limit: int | None = 1000) -> DataFrame:
-    """All-days view per stop, worst average score first, for stops with enough trips."""
-    rollup = (
+def segment_rollup(segments: DataFrame, min_trips: int = 80) -> DataFrame:
+    """All-days view of every stop with enough trips."""
+    return (
         segments.groupBy("route_id", "stop_id")
         .agg(
             F.avg("reliability_score").alias("reliability_score"),
@@ -85,9 +85,6 @@ def segment_rollup(segments: DataFrame, min_trips: int = 80, limit: int | None =
         )
         .where(F.col("total_trips") >= min_trips)
     )
-    if limit is None:
-        return rollup
-    return rollup.orderBy(scoring.rank_key(F.col("reliability_score")), "route_id", "stop_id").limit(limit)
 
 
 def latest_trend(routes: DataFrame) -> DataFrame:

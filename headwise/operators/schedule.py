@@ -1,60 +1,22 @@
-"""Timetable expansion, peak bands and stop spacing."""
+"""Service days, peak bands and stop spacing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.functions import clock, text
+from headwise.functions import clock
 
-# Service runs from 06:00 up to, but not at, 22:00.
-SERVICE_START_SEC = 6 * 3600
-SERVICE_END_SEC = 22 * 3600
 
-
-def service_days(pings: DataFrame, days: int = 30) -> DataFrame:
-    """The calendar days up to the latest date with their number of pings, 0 for a day without any."""
+def service_days(pings: DataFrame, first: str | None = None) -> DataFrame:
+    """The calendar days from `first` (or the earliest date) to the latest with their number of pings, 0 without any."""
     counted = pings.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("pings"))
-    last = F.to_date(F.max("date"))
-    calendar = counted.agg(F.sequence(F.date_sub(last, days - 1), last).cast("array<string>").alias("days"))
+    begin = F.to_date(F.min("date")) if first is None else F.to_date(F.lit(first))
+    calendar = counted.agg(F.sequence(begin, F.to_date(F.max("date"))).cast("array<string>").alias("days"))
     calendar = calendar.select(F.explode("days").alias("date"))
     return calendar.join(counted, "date", "left").select("date", F.coalesce("pings", F.lit(0)).alias("pings"))
 
 
-def expand_schedule(pings: DataFrame) -> DataFrame:
-    """The planned departures of every route and date: one each scheduled headway, vehicles taking turns.
-
-    The fleet is as large as the number of vehicles seen on that route that day.
-    """
-    # Counting per vehicle first lets the distinct count be combined map-side.
-    route_days = (
-        pings.where(F.col("date").isNotNull())
-        .groupBy("route_id", "date", "vehicle_id")
-        .agg(F.max("scheduled_headway_sec").alias("headway"))
-        .groupBy("route_id", "date")
-        .agg(F.max("headway").alias("headway"), F.count("vehicle_id").alias("fleet"))
-        .where((F.col("headway") > 0) & (F.col("fleet") > 0))
-    )
-    last = F.floor((SERVICE_END_SEC - SERVICE_START_SEC - 1) / F.col("headway"))
-    number = F.coalesce(text.route_number(F.col("route_id")), F.lit(0))
-    start = F.to_date("date").cast("timestamp_ntz")
-    second = F.lit(SERVICE_START_SEC) + F.col("trip_index") * F.col("headway")
-    return (
-        route_days.withColumn("trip_index", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .withColumn("departure", start + F.make_dt_interval(secs=second))
-        .select(
-            "route_id",
-            "date",
-            "trip_index",
-            "departure",
-            F.format_string(
-                "TRIP_%03d_%s_%03d", number, F.regexp_replace("date", "-", ""), F.col("trip_index")
-            ).alias("trip_id"),
-            F.format_string("BUS_%03d_%02d", number, F.col("trip_index") % F.col("fleet")).alias("vehicle_id"),
-        )
-    )
-
-
 def peak_flags(pings: DataFrame) -> DataFrame:
     """Hour of day as a fraction, and whether it falls in a peak band."""
     return pings.withColumn("hour", clock.hour_fraction(F.col("timestamp"))).withColumn(

@@ -18,10 +18,10 @@ def _candidates(segments: DataFrame, routes: DataFrame, cfg: ReliabilityConfig)
     """For every card type, the stops that could still be picked when its turn comes.
 
     A route gets one card at most, so only its best stop counts, and the i-th card can find at most i routes taken:
-    the best `n_cards` routes per type are enough. The pool has at most `pool_size` rows.
+    the best `n_cards` routes per type are enough.
     """
     pool = (
-        metrics.segment_rollup(segments, cfg.min_trips, cfg.pool_size)
+        metrics.segment_rollup(segments, cfg.min_trips)
         .join(metrics.latest_trend(routes), "route_id", "left")
         .withColumns(
             {

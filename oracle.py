@@ -88,8 +88,6 @@ rollup_all AS (
     CAST(sum(gap_count) AS BIGINT) AS gap_count, avg(mean_dwell_sec) AS mean_dwell_sec,
     max(route_base_boardings) AS route_base_boardings
   FROM segments GROUP BY route_id, stop_id HAVING sum(total_trips) >= 80),
-worst_pool AS (
-  SELECT * FROM rollup_all ORDER BY round(reliability_score, 9), route_id, stop_id LIMIT 1000),
 trends AS (SELECT route_id, arg_max(wow_trend, date) AS wow_trend FROM routes GROUP BY route_id)"""
 
 WORST_STOPS = """
@@ -130,7 +128,7 @@ def _cards() -> str:
 card_pool AS (
   SELECT p.*, coalesce(t.wow_trend, 0.0::DOUBLE) AS wow_trend, bunching_count / total_trips::DOUBLE AS bunching_rate,
     gap_count / total_trips::DOUBLE AS gap_rate
-  FROM worst_pool p LEFT JOIN trends t USING (route_id))"""
+  FROM rollup_all p LEFT JOIN trends t USING (route_id))"""
     ]
     kinds = list(urgency)
     for i in range(8):
@@ -364,17 +362,17 @@ def statements() -> dict[str, str]:
                   WHEN n >= 1000 THEN printf('%.0f', round(n / 1e3, 0)) || 'K' ELSE CAST(n AS VARCHAR) END AS pings_label,
                 (SELECT count(DISTINCT route_id) FROM routes) AS num_routes,
                 (SELECT count(DISTINCT date) FROM routes) AS num_days
-              FROM (SELECT count(*) AS n FROM pings)""",
+              FROM (SELECT count(*) AS n FROM events)""",
         ),
         "health_counts": (
             base,
-            """SELECT 'pings' AS table_name, count(*) AS rows FROM pings UNION ALL
+            """SELECT 'pings' AS table_name, count(*) AS rows FROM events UNION ALL
               SELECT 'route_scores', count(*) FROM routes UNION ALL SELECT 'anomaly_events', count(*) FROM anomalies""",
         ),
         "segment_rollup": (
             base,
             """SELECT route_id, stop_id, round(reliability_score, 6) AS reliability_score, total_trips, bunching_count,
-              gap_count, round(mean_dwell_sec, 6) AS mean_dwell_sec, route_base_boardings FROM worst_pool""",
+              gap_count, round(mean_dwell_sec, 6) AS mean_dwell_sec, route_base_boardings FROM rollup_all""",
         ),
         "worst_stop_per_route": (
             base,
@@ -526,20 +524,9 @@ def statements() -> dict[str, str]:
         "service_days": (
             PINGS,
             """SELECT strftime(d, '%Y-%m-%d') AS date, coalesce(n, 0) AS pings
-              FROM (SELECT unnest(generate_series(m - INTERVAL 29 DAY, m, INTERVAL 1 DAY)) AS d
-                FROM (SELECT CAST(max(date) AS TIMESTAMP) AS m FROM pings)) days
+              FROM (SELECT unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d
+                FROM pings) days
               LEFT JOIN (SELECT CAST(date AS TIMESTAMP) AS d, count(*) AS n FROM pings GROUP BY 1) counted USING (d)""",
         ),
-        "schedule_expand": (
-            PINGS,
-            """SELECT route_id, date, trip_index, CAST(date AS TIMESTAMP)
-                + to_seconds(21600 + trip_index * headway) AS departure,
-                'TRIP_' || right(route_id, 3) || '_' || replace(date, '-', '') || '_'
-                  || lpad(CAST(trip_index AS VARCHAR), 3, '0') AS trip_id,
-                'BUS_' || right(route_id, 3) || '_' || lpad(CAST(trip_index % fleet AS VARCHAR), 2, '0') AS vehicle_id
-              FROM (SELECT *, unnest(range((57600 - 1) // headway + 1)) AS trip_index
-                FROM (SELECT route_id, date, max(scheduled_headway_sec) AS headway, count(DISTINCT vehicle_id) AS fleet
-                  FROM pings GROUP BY route_id, date))""",
-        ),
     }
     return {name: f"WITH {steps}\n{body}" for name, (steps, body) in steps_body.items()}

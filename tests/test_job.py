@@ -161,11 +161,16 @@ def test_anomalies_need_no_shuffle(network, spark, tmp_path):
 
 def test_service_days_include_empty_ones(network):
     pings = network.pings.where("date NOT IN ('2024-01-29', '2024-01-30') AND date != '2024-01-20'")
-    days = {r.date: r.pings for r in schedule.service_days(pings, days=10).collect()}
+    days = {r.date: r.pings for r in schedule.service_days(pings, first="2024-01-19").collect()}
     assert len(days) == 10 and max(days) == "2024-01-28" and days["2024-01-20"] == 0
     assert days["2024-01-28"] == pings.where("date = '2024-01-28'").count()
 
 
+def test_service_days_have_no_limit(spark):
+    pings = spark.sql("SELECT CAST(date_add('2024-01-01', CAST(id AS INT)) AS STRING) AS date FROM range(84)")
+    assert schedule.service_days(pings).count() == 84
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -187,6 +187,18 @@ def test_fixed_variant_keeps_fractions_and_repeat_vehicles(spark):
     assert (stats.bunching_rate, stats.gap_rate) == (0.5, 0.5)
 
 
+def test_event_text_is_the_wall_clock(spark):
+    """02:30 does not exist in New York on this day."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = dt.datetime(2024, 3, 10, 2, 30)
+        rows = [ping(timestamp=at - dt.timedelta(hours=5), vehicle="A"), ping(timestamp=at, vehicle="B")]
+        assert headway.anomaly_events(headway.flagged_headways(frame(spark, rows))).first().timestamp_str == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_histogram_counts_headways_most_frequent_first(spark):
     rows = [ping(m, "A") for m in (0, 5, 10, 12, 14, 16)]
     histogram = probes.headway_histogram(probes.route_headways(frame(spark, rows), "R1"), limit=2)
