@@ -40,9 +40,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     before, every = filled.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     left = share * F.sum("source_size").over(every) - F.coalesce(F.sum("full").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    # With all earlier sources full, this one gets `level` for each unit of weight; the first that isn't full sets it.
+    # With all earlier sources full, this one gets `level` for each unit of weight. The first that isn't full then sets
+    # it; the levels of later ones are lower, since they count sources as full that aren't.
     ranked = ranked.withColumn("level", left / heavy)
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.col("level"))).over(every)
     target = F.least("full", F.coalesce(level * F.col("weight"), "full"))
     return ranked.select("source", "source_size", target.alias("target"))
 
@@ -65,8 +66,9 @@ def mix(documents: DataFrame, key: str = "doc_id", **plan) -> DataFrame:
 
 def emit(documents: DataFrame, **plan) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns it came with."""
-    mixed = mix(documents, **plan).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return mixed.where("copies > 0").select(documents.columns)
+    mixed = mix(documents, **plan)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    return mixed.select(*documents.columns, times).drop("_copy")
 
 
 ORACLE = rf"""
@@ -84,7 +86,7 @@ levels AS (
   FROM ranked),
 targets AS (
   SELECT source, source_size,
-    least("full", coalesce(min(CASE WHEN level * weight <= "full" THEN level END) OVER () * weight, "full")) AS target
+    least("full", coalesce(max(CASE WHEN level * weight <= "full" THEN level END) OVER () * weight, "full")) AS target
   FROM levels),
 rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0 END AS rate
