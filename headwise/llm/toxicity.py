@@ -52,10 +52,8 @@ def tokens(text: str | None) -> list[str]:
 
 def _codes(words: list[str]) -> np.ndarray:
     """Characters as numbers, a row for each word, 0 beyond its end."""
-    out = np.zeros((len(words), max(map(len, words), default=1) or 1), np.int32)
-    for i, word in enumerate(words):
-        out[i, : len(word)] = [ord(c) for c in word]
-    return out
+    width = max(map(len, words), default=1) or 1
+    return np.array(words, f"<U{width}").view(np.int32).reshape(len(words), width)
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
@@ -106,44 +104,47 @@ def own(words: list[str]) -> np.ndarray:
     return total
 
 
-def _pairs(word: str) -> set[str]:
-    return {a + b for g in range(1, GAP + 2) for a, b in zip(word, word[g:], strict=False)}
+def _alike(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """Which words have the share PAIRS of the character pairs of any landmark."""
+    marks = _codes(landmarks)
+    letters = np.unique(marks[marks > 0])
+    n = len(letters) + 1
+
+    def pairs(codes: np.ndarray) -> np.ndarray:
+        """For each word, which pairs it has; letters of no landmark count as none."""
+        at = np.minimum(np.searchsorted(letters, codes), n - 2)
+        at = np.where(letters[at] == codes, at + 1, 0)
+        has, row = np.zeros((len(codes), n * n), bool), np.arange(len(codes))[:, None]
+        for g in range(1, GAP + 2):
+            first, second = at[:, :-g], at[:, g:]
+            has[row, np.where((first > 0) & (second > 0), first * n + second, 0)] = True
+        has[:, 0] = False
+        return has
+
+    wanted = pairs(marks)
+    used = wanted.any(axis=0)
+    wanted = wanted[:, used].astype(np.float32)
+    enough = PAIRS * wanted.sum(axis=1)
+    out = np.zeros(len(words), bool)
+    for begin in range(0, len(words), 2048):
+        some = pairs(_codes(words[begin : begin + 2048]))[:, used].astype(np.float32)
+        out[begin : begin + 2048] = ((some @ wanted.T) >= enough).any(axis=1)
+    return out
 
 
 def similarity(words: list[str], landmarks: list[str], scale: np.ndarray) -> np.ndarray:
     """Normalised kernel with the landmarks (whose own values are `scale`), nothing below FLOOR."""
-    if not words or not landmarks:
-        return np.zeros((len(words), len(landmarks)), np.float32)
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    shared: dict[str, list[int]] = {}
-    enough = []
-    for k, landmark in enumerate(landmarks):
-        pairs = _pairs(landmark)
-        enough.append(PAIRS * len(pairs))
-        for pair in pairs:
-            shared.setdefault(pair, []).append(k)
-
-    keys, least = set(shared), min(enough)
-
-    def compared(word: str) -> bool:
-        seen: dict[int, int] = {}
-        found = _pairs(word) & keys
-        if len(found) < least:
-            return False
-        for pair in found:
-            for k in shared[pair]:
-                seen[k] = seen.get(k, 0) + 1
-                if seen[k] >= enough[k]:
-                    return True
-        return False
-
-    near = sorted((i for i, w in enumerate(words) if compared(w)), key=lambda i: len(words[i]))
+    if not words or not landmarks:
+        return out
+    near = sorted(np.flatnonzero(_alike(words, landmarks)).tolist(), key=lambda i: len(words[i]))
     for begin in range(0, len(near), 512):
         part = near[begin : begin + 512]
         some = [words[i] for i in part]
         norm = np.sqrt(np.maximum(own(some), 1e-12)[:, None] * scale[None, :])
-        out[part] = kernel(some, landmarks) / norm
-    return np.where(out >= FLOOR, out, np.float32(0))
+        value = kernel(some, landmarks) / norm
+        out[part] = np.where(value >= FLOOR, value, np.float32(0))
+    return out
 
 
 @dataclass(frozen=True)
@@ -167,17 +168,17 @@ class Sentences:
 
     def _places(self, new: list[str]) -> list[int]:
         """Rows of the tokens."""
+        if not new:
+            return []
         pieces = [plain(x) for x in new]
         flat = similarity([p for own_ in pieces for p in own_], self.landmarks, self.scale)
-        places, at = [], 0
-        for own_ in pieces:
-            value = flat[at : at + len(own_)]
-            at += len(own_)
-            if value.any():
-                self.rows.append(value.max(axis=0)[None])
-                self.size += 1
-            places.append(self.size - 1 if value.any() else 0)
-        return places
+        first = np.cumsum([0, *map(len, pieces[:-1])])  # a token has one piece at least
+        best = np.maximum.reduceat(flat, first, axis=0)
+        like = best.any(axis=1)
+        self.rows.append(best[like])
+        places = np.where(like, self.size - 1 + np.cumsum(like), 0)
+        self.size += int(like.sum())
+        return places.tolist()
 
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text, the vectors of its sentences that are like any landmark (maybe none)."""
