@@ -9,9 +9,9 @@ decide.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,22 +36,23 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]  # log frequency in each language
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]  # row in `table`
+    grams: dict[str, int]
+    table: np.ndarray  # log frequencies, a column for each language
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word of letters, in lower case."""
+    def rows(self, word: str) -> list[int]:
+        """Rows of the table whose mean is the score of a word of letters, in lower case."""
         found = self.words.get(word)
         if found is not None:
-            return found
-        padded, total, n = f"<{word}>", np.zeros(len(self.languages)), 0
+            return [found]
+        padded, grams, rows = f"<{word}>", self.grams, []
         for i in range(len(padded)):
-            for order in range(ORDER, 0, -1):
-                gram = padded[i : i + order]
-                if len(gram) == order and gram in self.grams:
-                    total, n = total + self.grams[gram], n + 1
+            for end in range(min(i + ORDER, len(padded)), i, -1):
+                found = grams.get(padded[i:end])
+                if found is not None:
+                    rows.append(found)
                     break
-        return total / max(n, 1)
+        return rows
 
 
 def _table(counts: DataFrame, key: str, languages: list[str], most: int) -> dict[str, np.ndarray]:
@@ -88,41 +89,63 @@ def train(documents: DataFrame) -> Model:
             .agg(F.sum("n").alias("n"))
         )
         grams |= _table(counts, "gram", languages, GRAMS)
-    model = Model(languages, _table(words, "word", languages, WORDS), grams)
+    known = _table(words, "word", languages, WORDS)
     words.unpersist()
-    return model
+    table = np.array([*known.values(), *grams.values()]).reshape(-1, len(languages))
+    row = dict(zip(grams, range(len(known), len(table)), strict=True))
+    return Model(languages, dict(zip(known, range(len(known)), strict=True)), row, table)
 
 
 class Reader:
     """Sums of the word scores of texts; tokens seen before are looked up."""
 
+    #: Tokens looked up at once; a longer text is read in parts of so many.
+    STEP = MEMO // 4
+
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-        self.scores: list[np.ndarray] = []
-        self.n_words: list[int] = []
-
-    def _place(self, token: str) -> int:
-        words = _LETTERS.findall(token.lower())
-        self.memo[token] = len(self.scores)
-        self.scores.append(sum((self.model.word(w) for w in words), np.zeros(len(self.model.languages))))
-        self.n_words.append(len(words))
-        return self.memo[token]
-
-    def _forget(self) -> None:
-        if len(self.memo) > MEMO:
-            self.memo, self.scores, self.n_words = {}, [], []
-
-    def total(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Summed log frequencies in each language, and the number of words."""
-        total, count, tokens = np.zeros(len(self.model.languages)), 0, (text or "").split()
-        for begin in range(0, len(tokens), MEMO // 4):
-            self._forget()
-            memo = self.memo
-            at = [memo[x] if x in memo else self._place(x) for x in tokens[begin : begin + MEMO // 4]]
-            for i, times in Counter(at).items():
-                total += self.scores[i] * times
-                count += self.n_words[i] * times
-        return total, count
+        self.model = model
+        # Rows of the tokens: log frequencies of their words in each language, and the number of words.
+        self.scores = np.zeros((4 * MEMO, len(model.languages) + 1))
+        self.size, self.memo = 0, training.Memo(MEMO, self._places)
+
+    def _places(self, new: list[str]) -> list[int]:
+        """Rows of tokens that weren't looked up before."""
+        words = [(k, self.model.rows(word)) for k, token in enumerate(new) for word in _LETTERS.findall(token.lower())]
+        owner = np.array([k for k, _ in words], np.int64)
+        sizes = np.array([len(rows) for _, rows in words], np.int64)
+        rows = np.array([r for _, rows in words for r in rows], np.int64)
+        share = np.repeat(1 / np.maximum(sizes, 1), sizes)
+        place = slice(self.size, self.size + len(new))
+        for i in range(len(self.model.languages)):
+            self.scores[place, i] = np.bincount(np.repeat(owner, sizes), self.model.table[rows, i] * share, len(new))
+        self.scores[place, -1] = np.bincount(owner, minlength=len(new))
+        self.size = place.stop
+        return list(range(place.start, place.stop))
+
+    def _add(self, parts: list[tuple[int, list[str]]], totals: np.ndarray) -> None:
+        if self.size > 3 * MEMO:
+            self.size, self.memo = 0, training.Memo(MEMO, self._places)
+        memo = self.memo.lookup([own for _, own in parts])
+        at = np.fromiter(map(memo.__getitem__, chain.from_iterable(own for _, own in parts)), np.int64)
+        owner = np.repeat([k for k, _ in parts], [len(own) for _, own in parts])
+        for i in range(totals.shape[1]):
+            totals[:, i] += np.bincount(owner, self.scores[at, i], len(totals))
+
+    def totals(self, texts: Iterable[str | None]) -> np.ndarray:
+        """For each text, its summed log frequencies in each language, and the number of its words."""
+        split = [(text or "").split() for text in texts]
+        totals = np.zeros((len(split), self.scores.shape[1]))
+        parts, held = [], 0
+        for k, tokens in enumerate(split):
+            for begin in range(0, len(tokens), self.STEP):
+                parts.append((k, tokens[begin : begin + self.STEP]))
+                held += len(parts[-1][1])
+                if held >= self.STEP:
+                    self._add(parts, totals)
+                    parts, held = [], 0
+        if parts:
+            self._add(parts, totals)
+        return totals
 
 
 def predict(text: Column, model: Model) -> Column:
@@ -134,16 +157,16 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = Reader(model)
+        reader, names = Reader(model), np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            rows: list[tuple[str, float]] = []
-            for total, count in map(reader.total, batch):
-                if not count or not len(total):
-                    rows.append((UNKNOWN, 0.0))
-                    continue
-                level = total / count * min(count, EVIDENCE)
-                best = int(np.argmax(level))
-                rows.append((model.languages[best], float(1 / np.exp(level - level[best]).sum())))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            totals = np.concatenate([reader.totals(batch.iloc[i : i + 200]) for i in range(0, len(batch), 200)] or [np.zeros((0, len(names)))])
+            count = totals[:, -1]
+            told = (count > 0) & (len(names) > 1)
+            best, score = np.full(len(batch), len(names) - 1), np.zeros(len(batch))
+            level = totals[told, :-1] * (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[told, None]
+            if len(level):
+                best[told] = level.argmax(axis=1)
+                score[told] = 1 / np.exp(level - level.max(axis=1, keepdims=True)).sum(axis=1)
+            yield pd.DataFrame({"lang_pred": names[best], "score": score})
 
     return predicted(text)
