@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headwise.llm import storage
+
 WINDOW = 13
 #: A document is contaminated if one of so many words is hit, or more.
 SHARE = 20
@@ -49,6 +51,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _unused(documents: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has a column of that name."""
+    taken = {c.lower() for c in documents.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """What of every document stands in a benchmark: all its columns, n_words, n_hit, items and hits.
 
@@ -62,23 +72,24 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     probes = benchmark_windows(benchmark, window)
     if probes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         probes = F.broadcast(probes)
-    docs = documents.drop("n_words", "n_hit", "items", "hits", "_words", "_found")
-    stands = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(words(F.col("text"))).alias("pos", "probe"))
+    docs = documents.drop("n_words", "n_hit", "items", "hits")
+    doc, text, split, places = (_unused(docs, name) for name in ("_doc", "_text", "_words", "_found"))
+    stands = docs.select("doc_id", F.xxhash64("text").alias(text), F.posexplode(words(F.col("text"))).alias("pos", "probe"))
     start = F.col("pos") - F.col("at")
     found = (
         stands.join(probes, "probe")
         .where(start >= 0)
-        .groupBy("doc_id", "_text")
-        .agg(F.collect_set(F.struct(start.alias("start"), "size", "id", "items")).alias("_found"))
-        .withColumnRenamed("doc_id", "_doc")
+        .groupBy("doc_id", text)
+        .agg(F.collect_set(F.struct(start.alias("start"), "size", "id", "items")).alias(places))
+        .withColumnRenamed("doc_id", doc)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
-    matched = docs.join(found, same, "left").withColumn("_words", words(F.col("text")))
-    true = F.filter("_found", lambda c: F.xxhash64(F.slice("_words", c["start"] + 1, c["size"])) == c["id"])
-    matched = matched.withColumn("_found", F.array_sort(F.coalesce(F.when(F.col("_found").isNotNull(), true), F.array())))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    matched = docs.join(found, same, "left").withColumn(split, words(F.col("text")))
+    true = F.filter(places, lambda c: F.xxhash64(F.slice(split, c["start"] + 1, c["size"])) == c["id"])
+    matched = matched.withColumn(places, F.array_sort(F.coalesce(F.when(F.col(places).isNotNull(), true), F.array())))
     zero = F.lit(0).cast("long")
     covered = F.aggregate(
-        "_found",
+        places,
         F.struct(zero.alias("n"), zero.alias("end")),
         lambda sofar, c: F.struct(
             (sofar["n"] + F.greatest(zero, c["start"] + c["size"] - F.greatest(sofar["end"], c["start"]))).alias("n"),
@@ -88,10 +99,10 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     )
     return matched.select(
         *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
+        F.size(split).cast("long").alias("n_words"),
         covered.alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["items"])))).alias("items"),
-        F.transform("_found", lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda c: c["items"])))).alias("items"),
+        F.transform(places, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"))).alias("hits"),
     )
 
 
@@ -101,10 +112,14 @@ def contaminated() -> Column:
 
 def without_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, as they are."""
-    # A filter on the scan's own columns would be moved below them, and the words of a text split anew for every window
-    # compared. It isn't moved below an explode.
-    judged = scan(documents, benchmark).select(*documents.columns, F.explode(F.array(contaminated())).alias("_contaminated"))
-    return judged.where("not _contaminated").select(documents.columns)
+    # The verdicts are written before anything is filtered by them: a filter on the scan's own columns would be moved
+    # below them, and the words of a text split anew for every window compared.
+    doc, text, bad = (_unused(documents, name) for name in ("_doc", "_text", "_bad"))
+    scanned = scan(documents.select("doc_id", "text"), benchmark)
+    verdicts = scanned.select(F.col("doc_id").alias(doc), F.xxhash64("text").alias(text), contaminated().alias(bad))
+    rejected = storage.staged(verdicts, "verdicts").where(F.col(bad))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    return documents.join(rejected, same, "left_anti")
 
 
 def without_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
