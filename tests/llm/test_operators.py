@@ -193,6 +193,23 @@ def test_contaminated_spans(spark):
     assert got == {0: (22, 20, ["1"]), 1: (4, 2, ["2"]), 2: (3, 0, []), 3: (0, 0, []), 4: (0, 0, [])}
     kept = {r.doc_id: r.text for r in decontaminate.without_spans(table(spark, texts), bench).collect()}
     assert kept == {0: "Lead, tail", 1: "so here", 2: "q1 q2 q3", 3: None, 4: ""}
+    twice = table(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id"))).withColumns({x: F.lit(1) for x in ("_doc", "_TEXT", "_words", "_found", "_bad")})
+    assert decontaminate.scan(twice, bench).where("n_hit > 0").count() == 2
+    whole = decontaminate.without_documents(twice.unionByName(twice), bench)
+    assert whole.columns == twice.columns
+    assert sorted(map(str, (r.doc_id for r in whole.collect()))) == ["2", "2", "3", "3", "4", "4"]
+    assert decontaminate.without_documents(twice.limit(0), bench).count() == 0
+
+
+def test_words_back_off_to_shorter_grams_and_long_texts_are_read_in_parts(monkeypatch):
+    model = language_id.Model(["a", "b"], {"known": 0}, {"<ne": 1, "e": 2, "w>": 3}, np.array([[1.0, 2], [3, 4], [5, 6], [7, 9]]))
+    reader = language_id.Reader(model)
+    once = reader.totals(["Known", "new", "known-new known", "zz", "12", "", None])
+    assert np.allclose(once, [[1, 2, 1], [5, 19 / 3, 1], [7, 31 / 3, 3], [0, 0, 1], [0, 0, 0], [0, 0, 0], [0, 0, 0]])
+    monkeypatch.setattr(language_id.Reader, "STEP", 7)
+    texts = ["known new zz " * 20, "new", "known new zz " * 20]
+    apart = language_id.Reader(model).totals(texts)
+    assert np.allclose(apart, reader.totals(texts)) and apart[0].tolist() == apart[2].tolist()
 
 
 def test_everyone_is_the_assistant_once(spark):
