@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_ids", write_tokens),
 ]
 
-#: Learned models, similarity components and token ids have no SQL form; tests compare every stage with a plain version.
+#: Learned models, similarity components and token ids have no SQL form; the operators' own tests stand in.
 ORACLE_SQL = None
 
 
