@@ -5,17 +5,18 @@ compared. A tree puts every class into the node of one minwise token of its set;
 a further token, chosen by the node's name, into smaller ones. Two sets of similarity s share each chosen token with
 probability s. Small nodes are compared exhaustively: pairs whose minwise tokens could belong to linked sets are
 confirmed on full sets, and only for these are texts fetched. Independent trees are repeated until a link is missed with
-a small probability (see `TREES`).
+a small probability (see `MISS`).
 
 Only connections matter for components, so a node is looked at only while it spans several components, and a comparison
 is made only between different ones. Groups of near copies never become small nodes: after `DEPTH` branchings a large
 node is dealt into blocks, each with the same few pivots, which joins nearly all of it in linear work. What a large
 node still holds of several components in the end is compared exhaustively, outsiders of its largest component against
-all members, in pairs of blocks.
+all members, in pairs of blocks, in every tree: two given members of a large node hardly ever meet in a dealt block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,12 @@ from headwise.llm import hashing, storage
 SHINGLE = 5
 #: Minwise tokens of a set, four bytes each.
 TOKENS = 64
-#: Trees of each round. At a similarity of 0.85 a tree brings a pair together with a probability of 0.85, after DEPTH
-#: branchings of a large node still of 0.61, so eight miss it with 3e-7 and 5e-4.
-TREES = (range(0, 2), range(2, 8))
+#: Probability to miss a pair that is just similar enough and whose nodes all branch DEPTH times. A tree brings it together
+#: with the similarity to the power of 1 + DEPTH, at 0.85 with 0.61 and at 0.80 with 0.51, which takes 8 and 11 trees.
+MISS = 5e-4
 DEPTH = 2
+#: Trees of the first round, which joins most of what is alike; the second round has the others.
+FIRST = 2
 #: Classes that are compared at once, and pivots that each block of a large node gets besides.
 LEAF, PIVOTS = 64, 3
 #: A pair goes to exact comparison if this many minwise tokens agree; 0.85 expects 54 with a deviation of 2.9.
@@ -39,6 +42,14 @@ AGREE = 42
 #: Rows given to one call.
 TASK_ROWS = 512
 
+
+
+def _trees(percent: int) -> int:
+    """Trees that miss a pair with a probability of at most MISS."""
+    together = min(max(percent, 1) / 100, 1 - 1e-9) ** (1 + DEPTH)
+    return max(FIRST + 1, math.ceil(math.log(MISS) / math.log1p(-together)))
+
+
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, TOKENS, np.uint64)
@@ -284,11 +295,12 @@ def components(documents: DataFrame, percent: int = 80) -> DataFrame:
         first.join(tokens, ["class", *key]).select("class", "tokens", F.col("class").alias("component")), "components"
     )
     contents = texts.withColumnRenamed("doc_id", "class")
-    for trees in TREES:
+    count = _trees(percent)
+    for trees in (range(0, FIRST), range(FIRST, count)):
         leaves, large = _nodes(classes, trees)
         nodes = storage.staged(leaves.unionByName(_blocks(large)), "members")
         classes = _merged(classes, _links(nodes, classes, contents, percent))
-    _, large = _nodes(classes, range(0, 4))
+    _, large = _nodes(classes, range(0, count))
     if not large.isEmpty():
         nodes = storage.staged(_block_pairs(large), "members")
         classes = _merged(classes, _links(nodes, classes, contents, percent))

@@ -90,6 +90,19 @@ def test_near_duplicates_of_nothing_and_without_ids(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id == 3] == [(3, True)] * 2
 
 
+@pytest.mark.parametrize(("percent", "trees"), [(80, 11), (85, 8)])
+def test_large_nodes_of_every_tree_are_compared(spark, monkeypatch, percent, trees):
+    assert near_dedup._trees(percent) == trees and (1 - (percent / 100) ** 3) ** trees <= near_dedup.MISS
+    seen = []
+    nodes, pairs = near_dedup._nodes, near_dedup._block_pairs
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    monkeypatch.setattr(near_dedup, "_nodes", lambda classes, some: seen.append(some) or nodes(classes, some))
+    monkeypatch.setattr(near_dedup, "_block_pairs", lambda large: seen.append("pairs") or pairs(large))
+    near_dedup.components(table(spark, sample_texts(n=20)), percent=percent)
+    assert [x for x in seen if x != "pairs"][-1] == range(trees)
+    assert sorted(i for x in seen[:2] for i in x) == list(range(trees))
+
+
 def test_repeats_equal_counted_windows(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", 3000)
     texts = sample_texts(2, 12)
