@@ -37,8 +37,8 @@ DEPTH = 2
 FIRST = 2
 #: Classes that are compared at once, and pivots that each block of a large node gets besides.
 LEAF, PIVOTS = 64, 3
-#: A pair goes to exact comparison if this many minwise tokens agree; 0.85 expects 54 with a deviation of 2.9.
-AGREE = 42
+#: Probability that fewer minwise tokens of a pair that is just similar enough agree than exact comparison asks for.
+UNLIKE = 5e-5
 #: Rows given to one call.
 TASK_ROWS = 512
 
@@ -50,6 +50,16 @@ def _trees(percent: int) -> int:
     return max(FIRST + 1, math.ceil(math.log(MISS) / math.log1p(-together)))
 
 
+def _agree(percent: int) -> int:
+    """Minwise tokens that must agree for exact comparison: at 0.85 42, at 0.80 38."""
+    s, below = min(max(percent, 0), 100) / 100, 0.0
+    for n in range(TOKENS):
+        below += math.comb(TOKENS, n) * s**n * (1 - s) ** (TOKENS - n)
+        if below > UNLIKE:
+            return n
+    return TOKENS
+
+
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, TOKENS, np.uint64)
@@ -175,28 +185,35 @@ def _block_pairs(large: DataFrame) -> DataFrame:
     )
 
 
-def _alike(node: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member, the later ones of other components whose minwise tokens agree often enough."""
+def _alike(node: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member, the later ones of other components whose minwise tokens agree in `least` places."""
     table = np.stack([np.frombuffer(x, "<u4") for x in node["tokens"]])
     component = node["component"].to_numpy()
     for i in range(len(table) - 1):
-        agree = (table[i + 1 :] == table[i]).sum(axis=1) >= AGREE
+        agree = (table[i + 1 :] == table[i]).sum(axis=1) >= least
         yield i, np.flatnonzero(agree & (component[i + 1 :] != component[i])) + i + 1
 
 
-def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """Members of nodes that have anyone to be compared with."""
-    kept = []
-    for _, node in rows.groupby("node", sort=False):
-        seen = np.zeros(len(node), bool)
-        for i, near in _alike(node):
-            seen[near] = True
-            seen[i] |= len(near) > 0
-        kept.append(node[seen])
-    return pd.concat(kept)[["node", "class", "component", "tokens"]]
+def _candidates(percent: int):
+    least = _agree(percent)
+
+    def candidates(rows: pd.DataFrame) -> pd.DataFrame:
+        """Members of nodes that have anyone to be compared with."""
+        kept = []
+        for _, node in rows.groupby("node", sort=False):
+            seen = np.zeros(len(node), bool)
+            for i, near in _alike(node, least):
+                seen[near] = True
+                seen[i] |= len(near) > 0
+            kept.append(node[seen])
+        return pd.concat(kept)[["node", "class", "component", "tokens"]]
+
+    return candidates
 
 
 def _compare(percent: int):
+    least = _agree(percent)
+
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between components, enough to connect all that are linked inside each node."""
         links: list[tuple[int, int]] = []
@@ -217,7 +234,7 @@ def _compare(percent: int):
                     root[c] = c = root[root[c]]
                 return c
 
-            for i, near in _alike(node):
+            for i, near in _alike(node, least):
                 for j in near.tolist():
                     a, b = top(component[i]), top(component[j])
                     if a == b:
@@ -242,7 +259,7 @@ def _links(nodes: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
     """Links found inside the nodes: left, right (components)."""
     rows = _dealt(nodes).join(classes.select("class", "tokens"), "class")
     candidates = storage.staged(
-        rows.groupBy("task").applyInPandas(_candidates, "node long, class long, component long, tokens binary"), "candidates"
+        rows.groupBy("task").applyInPandas(_candidates(percent), "node long, class long, component long, tokens binary"), "candidates"
     )
     content = texts.join(candidates.select("class").distinct(), "class").dropDuplicates(["class"])
     pairs = _dealt(candidates).join(content, "class")

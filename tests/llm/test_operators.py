@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,16 @@ def test_large_nodes_of_every_tree_are_compared(spark, monkeypatch, percent, tre
     assert sorted(i for x in seen[:2] for i in x) == list(range(trees))
 
 
+def test_pairs_of_the_least_similarity_pass_the_gate():
+    assert [near_dedup._agree(p) for p in (80, 85, 100)] == [38, 42, 64]
+    rng, passed = np.random.default_rng(3), 0
+    for _ in range(3000):  # sets of 1,000 with 800 of 1,000 in common with the union
+        union = rng.integers(0, 1 << 63, 1000, np.uint64)
+        node = pd.DataFrame({"tokens": [near_dedup._tokens(union), near_dedup._tokens(union[:800])], "component": [0, 1]})
+        passed += sum(len(near) for _, near in near_dedup._alike(node, near_dedup._agree(80)))
+    assert passed >= 2998  # a gate of 42, made for 0.85, loses about seven
+
+
 def test_repeats_equal_counted_windows(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", 3000)
     texts = sample_texts(2, 12)
