@@ -19,10 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm import training
+from headwise.llm import near_dedup, training
 
-#: Bounds of the model: labelled documents of either kind, words looked at as landmarks, landmarks.
-TRAIN_DOCUMENTS, CANDIDATES, LANDMARKS = 4_000, 300, 40
+#: Bounds of the model: labelled documents of either kind, words looked at as landmarks at a time, and landmarks beyond
+#: those that each cover SUPPORT texts which no other one covers.
+TRAIN_DOCUMENTS, CANDIDATES, LANDMARKS, SUPPORT = 4_000, 300, 40, 4
+#: Texts are near copies, which count once, if this share of their minwise tokens agree.
+COPIES = 0.5
 LENGTH, DECAY = 3, 0.7
 #: Kernel values below this count as none, which leaves most words without any.
 FLOOR = 0.55
@@ -219,24 +222,70 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400
     return w, b
 
 
+def _classes(labelled: DataFrame) -> DataFrame:
+    """A class for each labelled document, the same for near copies of one kind: doc_id, class."""
+
+    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = near_dedup.shingle_sets(list(batch["text"]))
+            tokens = [near_dedup._tokens(x) if len(x) else b"" for x in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "toxic": batch["toxic"].to_numpy(), "tokens": tokens})
+
+    texts = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", F.col("text").cast("binary").alias("text"))
+    found = sorted(map(tuple, texts.mapInPandas(sketches, "doc_id string, toxic int, tokens binary").collect()))  # bounded by TRAIN_DOCUMENTS
+    rows = []
+    for kind in (0, 1):
+        own_ = [(i, t) for i, k, t in found if k == kind and t]
+        table = np.array([np.frombuffer(t, "<u4") for _, t in own_]).reshape(len(own_), near_dedup.TOKENS)
+        left = np.arange(len(own_))
+        while len(left):
+            like = (table[left] == table[left[0]]).mean(axis=1) >= COPIES
+            rows += [(own_[i][0], 2 * int(left[0]) + kind) for i in left[like].tolist()]
+            left = left[~like]
+    return labelled.sparkSession.createDataFrame(rows, "doc_id string, class int")
+
+
 def _landmarks(labelled: DataFrame) -> list[str]:
-    """Words that toxic documents have more often than others, unlike each other."""
-    words = labelled.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word"))
+    """Words that toxic documents have more often than others, unlike each other; near copies count as one document.
+
+    In every round the words are ranked by the toxic texts that no landmark covers so far, until no word adds SUPPORT of
+    them: words of one group of texts, however many, cannot keep out those of others.
+    """
+    named = labelled.withColumn("doc_id", F.col("doc_id").cast("string")).join(F.broadcast(_classes(labelled)), "doc_id")
+    words = named.select("toxic", "class", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word"))
     counted = words.where(F.length("word").between(LENGTH + 1, PIECE - 1)).groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")
+        F.collect_set(F.when(F.col("toxic") == 1, F.col("class"))).alias("texts"),
+        F.count_distinct(F.when(F.col("toxic") == 0, F.col("class"))).alias("others"),
     )
-    odds = F.col("bad") * F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5))
-    top = counted.where("bad >= 4 and n - bad <= 0.05 * bad").orderBy(F.desc(odds), "word").limit(CANDIDATES)
+    bad = F.size("texts")
+    odds = bad * F.log((bad + 0.5) / (F.col("others") + 0.5))
+    fit = counted.where((bad >= SUPPORT) & (F.col("others") <= 0.05 * bad)).select("word", "texts", odds.alias("odds")).persist()
     chosen: list[str] = []
-    found = [START + r["word"] for r in top.select("word").collect()]
-    if not found:
+    covered: set[int] = set()
+    further: list[str] = []
+    while True:
+        new = F.size(F.array_except("texts", F.array(*map(F.lit, sorted(covered))).cast("array<int>")))
+        top = fit.where(new >= SUPPORT).orderBy(F.desc(new * F.col("odds") / F.size("texts")), "word").limit(CANDIDATES).collect()
+        if not top:
+            break
+        for r in top:
+            if len(covered.union(r["texts"])) >= len(covered) + SUPPORT:
+                chosen.append(START + r["word"])
+                covered.update(r["texts"])
+            elif len(further) < CANDIDATES:
+                further.append(START + r["word"])
+    fit.unpersist()
+    if not chosen:
         return []
+    # Words whose texts are covered already are as good for texts to come; as many as there is room for.
+    found = chosen + further
     scale = own(found)
     alike = similarity(found, found, scale)
-    for i in range(len(found)):
-        if len(chosen) < LANDMARKS and all(alike[i, j] < 0.75 for j in chosen):
-            chosen.append(i)
-    return [found[i] for i in chosen]
+    kept = list(range(len(chosen)))
+    for i in range(len(chosen), len(found)):
+        if len(kept) < LANDMARKS and all(alike[i, j] < 0.75 for j in kept):
+            kept.append(i)
+    return [found[i] for i in kept]
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:

@@ -195,6 +195,20 @@ def test_toxicity_tolerates_inserted_characters(spark):
     assert all((r.score >= toxicity.THRESHOLD) == bool(r.want) for r in scored.collect())
 
 
+def test_copies_leave_room_for_the_landmarks_of_others(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    vocabulary, long, passage = [word() for _ in range(300)], [word() for _ in range(400)], [word() for _ in range(60)]
+    texts = [(rnd.choices(vocabulary, k=60), 0) for _ in range(150)]
+    texts += [([*long, word()], 1) for _ in range(50)]  # near copies
+    texts += [([*passage, *(word() for _ in range(150))], 1) for _ in range(40)]  # one passage in otherwise different texts
+    texts += [([*rnd.choices(vocabulary, k=30), x], 1) for x in ("blockhead", "dimwit") for _ in range(15)]
+    df = spark.createDataFrame([(i, " ".join(w) + ".", k) for i, (w, k) in enumerate(texts)], "doc_id long, text string, toxic int")
+    found = toxicity._landmarks(df)
+    assert {"^blockhead", "^dimwit"} <= set(found)
+    assert not {x[1:] for x in found} & set(long)
+
+
 def test_lines_and_empty_tables(spark):
     texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", None, "", "a\nb", "p\np\np\np"]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_runs(table(spark, texts)).collect()}
