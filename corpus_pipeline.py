@@ -18,8 +18,9 @@ from headwise.llm import decontaminate, near_dedup, source_mix, storage, token_f
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a model of the labelled ones (three of four folds) calls toxic."""
-    marked = docs.where(~training.held_out(4, 2))
-    return toxicity.clean(docs, toxicity.train(marked, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    learned = ~training.held_out(4, 2)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learned)
+    return toxicity.clean(docs, toxicity.train(docs.where(learned), labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,8 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").withColumn("held_out", training.held_out(4, 2))
-    model = toxicity.train(documents.where("not held_out"), _table(spark, sf_dir, "labels"))
+    labels = _table(spark, sf_dir, "labels").where(~training.held_out(4, 2))
+    model = toxicity.train(documents.where("not held_out"), labels)
     scored = documents.select("doc_id", "held_out", toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 

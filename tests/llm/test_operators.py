@@ -209,6 +209,23 @@ def test_copies_leave_room_for_the_landmarks_of_others(spark):
     assert not {x[1:] for x in found} & set(long)
 
 
+def test_nothing_is_learned_from_labels_held_out(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from headwise.llm import queries
+
+    df = spark.createDataFrame([(i, f"text {i}.") for i in range(40)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: seen.append(labels) or train(docs, labels))
+    queries.toxic_documents(spark, str(tmp_path))
+    corpus_pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert len(seen) == 2
+    for labels in seen:
+        ids = {r.doc_id for r in labels.collect()}
+        assert ids == {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
 def test_lines_and_empty_tables(spark):
     texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", None, "", "a\nb", "p\np\np\np"]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_runs(table(spark, texts)).collect()}
