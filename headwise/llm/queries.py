@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.rotate(_table(spark, sf_dir, "conversations"))
+    return chat_format.rotate(_table(spark, sf_dir, "conversations")).drop("piece")
 
 
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,6 +276,22 @@ def test_everyone_is_the_assistant_once(spark):
     assert text[1, "ann"][0][start:end] == "hi<|end|>" and set(text) == {(1, "ann"), (1, "bob"), (2, "ann")}
 
 
+def test_parts_of_many_rows_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PART_ROWS", 20)
+    hot = [(None, i % 3, ("ann", "bob")[i % 2], f"text {i}") for i in range(300)]
+    rows = [*hot, *[(7, 0, "ann", "same")] * 90, (7, 1, "bob", "x"), (8, 0, None, "y"), (8, 1, "cy", None)]
+    got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert max(r.n_turns for r in got) <= 60  # a place is drawn, so pieces differ in size
+    assert {(r.conv_id, r.piece, r.n_turns) for r in got if r.conv_id} == {(7, 0, 2), (8, 0, 2)}
+    for me in ("ann", "bob"):
+        mine = sorted((r.piece, r.text) for r in got if r.conv_id is None and r.perspective == me)
+        assert len(mine) >= 12 and len({k for k, _ in mine}) == len(mine)
+        turns = [t for _, text in mine for t in re.findall(r"\n(text \d+)<", text)]
+        assert sorted(turns) == sorted(t for _, _, _, t in hot)
+        numbers = [{int(t[5:]) % 3 for t in re.findall(r"\n(text \d+)<", text)} for _, text in mine]
+        assert all(max(a) <= min(b) for a, b in zip(numbers, numbers[1:]))
+
+
 def test_staged_tables_can_be_dropped(spark):
     kept = storage.staged(spark.range(5), "five")
     assert kept.count() == 5
