@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwise.llm import hashing, storage
@@ -341,8 +341,18 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def representatives(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each component, the one with the smallest doc_id; all columns stay."""
-    kept = components(documents.select("doc_id", "text"), percent).where("kept and doc_id is not null")
-    return documents.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(
-        documents.where("doc_id is null")
-    )
+    """The documents without near duplicates: of each component one row of the smallest doc_id; all columns stay.
+
+    Of rows with that doc_id, the one whose text has the smallest hash stays. Rows without doc_id take part under a name
+    made from their text, greater than other doc_ids, and come back without one. Those with nothing but white space are
+    like nothing and all stay.
+    """
+    spare = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    named = documents.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), spare))
+    blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    full = named.where(~blank)
+    found = components(full.select(F.col("_near_id").alias("doc_id"), "text"), percent).where("kept")
+    first = Window.partitionBy("_near_id").orderBy(F.xxhash64("text"), "text")
+    rows = full.join(found.select(F.col("doc_id").alias("_near_id")).distinct(), "_near_id", "left_semi")
+    kept = rows.withColumn("_near_row", F.row_number().over(first)).where("_near_row = 1")
+    return kept.select(documents.columns).unionByName(named.where(blank).select(documents.columns))

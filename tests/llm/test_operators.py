@@ -84,6 +84,54 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == plain_components(list(enumerate(texts)), 85)
 
 
+def test_stages_of_the_pipeline_equal_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    base = [f"v{rnd.randrange(3000)}" for _ in range(60)]
+    texts = [" ".join(rnd.choices(base, k=40)) for _ in range(60)]
+    for i in range(0, 40, 2):
+        texts[i] += " blockhead"
+    passage = " ".join(f"q{i}" for i in range(30))
+    ids = list(range(60))
+    add = [(60, texts[51] + " z"), (61, passage + " end"), (51, texts[51]), (62, None), (None, texts[53]), (None, "a b c d e f g"), (None, "a b c d e f g"), (None, " "), (None, None)]
+    rows = [*zip(ids, texts, strict=True), *add]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 40 and i % 2 == 0)) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps, have = dict(corpus_pipeline.STAGES), docs
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = rows
+    plain = {
+        "toxicity": lambda rows: [r for r in rows if "blockhead" not in (r[1] or "")],
+        "minhash_near_dedup": distinct_documents,
+        "benchmark_decontamination": lambda rows: [r for r in rows if passage not in (r[1] or "")],
+    }
+    for name, of in plain.items():
+        have, want = storage.staged(steps[name](spark, have, str(tmp_path)), name), of(want)
+        assert have.columns == docs.columns and pairs(have) == sorted(want, key=str), name
+    mixed = storage.staged(steps["source_mixing"](spark, have, str(tmp_path)), "mixed")
+    times = Counter({})
+    for r in source_mix.mix(have).collect():
+        times[r.doc_id, r.text] += r.copies
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +times
+    ids_of = token_files.tokenizer(TOKENIZER).library
+    got = steps["token_ids"](spark, mixed, str(tmp_path)).collect()
+    crc = lambda t: zlib.crc32(np.array([*ids_of.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((r.doc_id, crc(r.text)) for r in mixed.collect())
+
+
+def distinct_documents(rows):
+    """One row of each group of near duplicates, those with an id first; blank rows without id stay."""
+    kept = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        a = shingles(t)
+        if not any(i == j is not None or a and 100 * len(a & shingles(u)) >= 80 * len(a | shingles(u)) for j, u in kept):
+            kept.append((i, t))
+    return kept
+
+
 def test_near_duplicates_of_nothing_and_without_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     got = sorted(near_dedup.components(rows).collect(), key=str)
