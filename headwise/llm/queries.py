@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -19,9 +20,12 @@ from headwise.llm import (
     source_mix,
     storage,
     substring_dedup,
+    token_counts,
     token_files,
     toxicity,
     training,
+    vector_codes,
+    vector_file,
 )
 
 
@@ -94,6 +98,28 @@ def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = vector_file.cluster(_table(spark, sf_dir, "embeddings"))
+    found = storage.staged(found, "clusters")
+    names = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
+    digests = spark.createDataFrame(names, "cluster int, centroid_sha256 string")
+    # A row for each cluster.
+    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    total = found.agg(F.sum("distance").alias("inertia"))
+    return found.join(F.broadcast(sums.join(digests, "cluster")), "cluster").crossJoin(F.broadcast(total))
+
+
+def token_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count(_table(spark, sf_dir, "documents"), path).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_errors(storage.staged(coded, "codes"))
+    return found.select("vec_id", "code", "error", "label_error").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": perspectives,
     "op2_source_mix": mixture,
@@ -105,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines,
     "op9_quality_rules": quality,
     "op10_substring_dedup": substrings,
+    "op11_vector_file": clusters,
+    "op12_token_counts": token_numbers,
+    "op13_vector_codes": codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -112,4 +141,6 @@ ORACLES: dict[str, str] = {
     "op2_source_mix": source_mix.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_vector_file": vector_file.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
