@@ -21,8 +21,7 @@ class ReliabilityConfig:
     report_share: float = 0.15  # share of boardings the route report claims
     default_boardings: int = 5000
 
-    # A (route, stop) group, or one day or minute of it, is split for sorting once it
-    # holds more than this many rows and more than a fair shuffle partition.
+    # A stop with more pings is sorted over several tasks.
     split_rows: int = 1_000_000
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from headwise.config import DEFAULTS, ReliabilityConfig
 from headwise.functions import clock
-from headwise.operators import skew
-from headwise.operators.skew import STOP, HeavyGroups
+from headwise.operators import series
+
+STOP = ["route_id", "stop_id"]
 
 # Arrival order at a stop. Input order does not exist in Spark, so equal timestamps are settled by the other columns
 # that the reliability tables depend on. Pings equal in all of these are interchangeable.
@@ -26,114 +27,35 @@ FULL_ORDER = [*ARRIVAL_ORDER, "date", "trip_id", "latitude", "longitude"]
 # What the reliability tables are computed from; trip and position columns stay in the file.
 METRIC_COLUMNS = [*STOP, "date", *ARRIVAL_ORDER]
 
-PREVIOUS = ["prev_timestamp", "prev_vehicle_id"]
-COPIES_PER_ROW = 100_000
-
-
-def _arrival_order(pings: DataFrame) -> list[str]:
-    return [name for name in FULL_ORDER if name in pings.columns]
-
-
-def _lag(pings: DataFrame, *series: str) -> DataFrame:
-    arrival = Window.partitionBy(*STOP, *series).orderBy(*_arrival_order(pings))
-    return pings.withColumns(
-        {
-            "prev_timestamp": F.lag("timestamp").over(arrival),
-            "prev_vehicle_id": F.lag("vehicle_id").over(arrival),
-        }
-    )
-
-
-def _handover(sliced: DataFrame) -> DataFrame:
-    """For every slice but a stop's first: the last ping of the slice before it."""
-    next_slice = F.lead("slice").over(Window.partitionBy(*STOP).orderBy("slice"))
-    return (
-        sliced.where(F.col("slice").isNotNull())
-        .groupBy(*STOP, "slice")
-        .agg(F.max(F.struct("timestamp", "vehicle_id")).alias("last"))
-        .select(
-            *STOP,
-            next_slice.alias("slice"),
-            F.col("last.timestamp").alias("handed_timestamp"),
-            F.col("last.vehicle_id").alias("handed_vehicle_id"),
-        )
-        .where(F.col("slice").isNotNull())
-    )
+PREVIOUS = {"timestamp": "prev_timestamp", "vehicle_id": "prev_vehicle_id"}
 
 
-def _lag_across_slices(sliced: DataFrame, handover: DataFrame) -> DataFrame:
-    first = F.col("prev_timestamp").isNull()
-    return (
-        _lag(sliced, "slice")
-        .join(handover, [*STOP, "slice"], "left")
-        .withColumns(
-            {
-                "prev_timestamp": F.coalesce("prev_timestamp", "handed_timestamp"),
-                "prev_vehicle_id": F.when(first, F.col("handed_vehicle_id")).otherwise(F.col("prev_vehicle_id")),
-            }
-        )
-        .drop("slice", "handed_timestamp", "handed_vehicle_id")
-    )
-
-
-def _slice(pings: DataFrame, heavy: HeavyGroups) -> DataFrame:
-    """Number the time slices of heavy stops: the first minute of a day, or the minute inside a heavy day."""
-    day = clock.day_number(F.col("timestamp"))
-    by_minute = F.array_contains("heavy_days", day)
-    number = F.when(by_minute, clock.minute_number(F.col("timestamp"))).otherwise(day * 1440)
-    return (
-        pings.join(F.broadcast(heavy.stops), STOP, "left")
-        .withColumn("slice", F.when(F.col("heavy_days").isNotNull(), number))
-        .drop("heavy_days")
-    )
-
-
-def _fold(pings: DataFrame) -> DataFrame:
-    return pings.groupBy(*pings.columns).agg(F.count(F.lit(1)).alias("copies"))
-
-
-def _unfold(folded: DataFrame) -> DataFrame:
-    """Bring back the copies, each preceded by an identical ping.
-
-    Two steps, so that no single row ever carries all copies of a ping.
-    """
-    blocks = folded.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES_PER_ROW)))
-    ).hint("rebalance")
-    start = F.col("block") * COPIES_PER_ROW
-    stop = F.least(F.col("copies"), start + COPIES_PER_ROW) - 1
-    copies = blocks.withColumn("copy", F.explode(F.sequence(start, stop)))
-    repeat = F.col("copy") > 0
-    return copies.withColumns(
-        {
-            "prev_timestamp": F.when(repeat, F.col("timestamp")).otherwise(F.col("prev_timestamp")),
-            "prev_vehicle_id": F.when(repeat, F.col("vehicle_id")).otherwise(F.col("prev_vehicle_id")),
-        }
-    ).drop("copies", "block", "copy")
+def _lag(pings: DataFrame) -> DataFrame:
+    order = [name for name in FULL_ORDER if name in pings.columns]
+    arrival = Window.partitionBy(*STOP).orderBy(*order)
+    return pings.withColumns({new: F.lag(old).over(arrival) for old, new in PREVIOUS.items()})
 
 
-def previous_ping(
-    pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None
-) -> DataFrame:
+def previous_ping(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
     """Add time and vehicle of the ping before, at the same stop and over all dates.
 
-    Most data needs one shuffle by (route, stop). Heavy stops are cut into time slices that sort in separate tasks;
-    each slice's first ping then gets the last one of the slice before. Pass `heavy` to reuse a measurement.
+    A stop with up to `split_rows` pings is sorted in one task, after one shuffle by (route, stop). Longer ones are
+    sorted over as many tasks as it takes (see `series`). Which stops are long is part of the same query: a count by
+    stop, combined map-side, finds at most one in `split_rows` pings; where it finds none, adaptive execution drops the
+    second way before anything is read for it.
     """
-    heavy = heavy or skew.measure(pings, cfg)
-    if heavy.stops is None:
-        return _lag(pings)
-    sliced = _slice(pings, heavy)
-    handover = _handover(sliced)
-    if heavy.minutes is None:
-        return _lag_across_slices(sliced, handover)
-    crowded = F.broadcast(heavy.minutes.withColumnRenamed("minute", "slice"))
-    spread = sliced.join(crowded, [*STOP, "slice"], "left_anti")
-    dense = sliced.join(crowded, [*STOP, "slice"], "left_semi")
-    return _lag_across_slices(spread, handover).unionByName(_unfold(_lag_across_slices(_fold(dense), handover)))
-
-
-def headways(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None) -> DataFrame:
+    name = F.xxhash64(*STOP)  # stops that share it are only sorted the same way
+    counted = pings.groupBy(name.alias("long_stop")).agg(F.count(F.lit(1)).alias("n"))
+    long_stops = F.broadcast(counted.where(F.col("n") > cfg.split_rows).select("long_stop"))
+    is_long = name == F.col("long_stop")
+    order = [c for c in FULL_ORDER if c in pings.columns]
+    short = _lag(pings.join(long_stops, is_long, "left_anti"))
+    long = series.with_previous(pings.join(long_stops, is_long, "left_semi"), STOP, order, PREVIOUS)
+    # Joined once more, so that without long stops all of it is known to be empty.
+    return short.unionByName(long.join(long_stops, is_long, "left_semi"))
+
+
+def headways(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
     """Minutes since the previous arrival, null when there is none or the same vehicle came again.
 
     A missing vehicle id equals no other, so such pings keep their headway. A repeat ping still counts as the
@@ -142,7 +64,7 @@ def headways(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGr
     gap = clock.wall_seconds(F.col("timestamp")) - clock.wall_seconds(F.col("prev_timestamp"))
     same_vehicle = F.col("vehicle_id") == F.col("prev_vehicle_id")
     return (
-        previous_ping(pings, cfg, heavy)
+        previous_ping(pings, cfg)
         .withColumn("headway_sec", F.when(same_vehicle, None).otherwise(gap))
         .withColumns(
             {
@@ -150,7 +72,7 @@ def headways(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGr
                 "scheduled_headway_min": F.col("scheduled_headway_sec") / F.lit(60.0),
             }
         )
-        .drop(*PREVIOUS)
+        .drop(*PREVIOUS.values())
     )
 
 
@@ -169,11 +91,9 @@ def flag_anomalies(headway_table: DataFrame, cfg: ReliabilityConfig = DEFAULTS)
     )
 
 
-def flagged_headways(
-    pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None
-) -> DataFrame:
+def flagged_headways(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
     """Flagged valid headways with only the columns that the reliability tables need."""
-    flagged = flag_anomalies(headways(pings.select(METRIC_COLUMNS), cfg, heavy), cfg)
+    flagged = flag_anomalies(headways(pings.select(METRIC_COLUMNS), cfg), cfg)
     return flagged.drop("headway_sec", "scheduled_headway_sec")
 
 

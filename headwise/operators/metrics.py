@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from headwise.config import DEFAULTS, ReliabilityConfig
 from headwise.functions import clock, scoring
 from headwise.operators import headway
-from headwise.operators.skew import HeavyGroups
 
 
 def segment_metrics(flagged: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
@@ -65,10 +64,8 @@ def route_scores(segments: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> Data
     return wow_trend(route_metrics(segments), cfg)
 
 
-def segments_from_pings(
-    pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None
-) -> DataFrame:
-    return segment_metrics(headway.flagged_headways(pings, cfg, heavy), cfg)
+def segments_from_pings(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
+    return segment_metrics(headway.flagged_headways(pings, cfg), cfg)
 
 
 def segment_rollup(segments: DataFrame, min_trips: int = 80) -> DataFrame:

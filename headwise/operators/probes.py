@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 from headwise.config import DEFAULTS, ReliabilityConfig
 from headwise.functions import clock
 from headwise.operators import headway
-from headwise.operators.skew import HeavyGroups
 
 # Fixed values of the simple variant, in minutes.
 BUNCHED_BELOW_MIN = 2.0
 GAP_ABOVE_MIN = 20.0
 
 
-def route_stats_fixed(
-    pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None
-) -> DataFrame:
+def route_stats_fixed(pings: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
     """Route statistics over plain arrival differences: no vehicle rule, fixed thresholds, exact to the microsecond."""
-    arrivals = headway.previous_ping(pings.select(*headway.STOP, *headway.ARRIVAL_ORDER), cfg, heavy)
+    arrivals = headway.previous_ping(pings.select(*headway.STOP, *headway.ARRIVAL_ORDER), cfg)
     minutes = F.col("headway_min")
     return (
         arrivals.where(F.col("prev_timestamp").isNotNull())
@@ -34,13 +31,11 @@ def route_stats_fixed(
     )
 
 
-def route_headways(
-    pings: DataFrame, route_id: str, cfg: ReliabilityConfig = DEFAULTS, heavy: HeavyGroups | None = None
-) -> DataFrame:
+def route_headways(pings: DataFrame, route_id: str, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
     """One route's arrivals with plain headways, the vehicle rule left out. Filter to a date first to probe a day."""
     one_route = pings.where(F.col("route_id") == route_id).select(*headway.STOP, *headway.ARRIVAL_ORDER)
     gap = clock.wall_seconds(F.col("timestamp")) - clock.wall_seconds(F.col("prev_timestamp"))
-    return headway.previous_ping(one_route, cfg, heavy).select(
+    return headway.previous_ping(one_route, cfg).select(
         "timestamp", "stop_id", "vehicle_id", gap.alias("headway_sec")
     )
 

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from headwise.config import DEFAULTS, ReliabilityConfig
-from headwise.operators import headway, metrics, quality, skew
+from headwise.operators import headway, metrics, quality
 from headwise.sources import pings as ping_source
 from headwise.sources import tables
 
@@ -61,9 +61,9 @@ def run(
 
     scratch = scratch_dir(spark, output_dir)
     with stage("load"):
-        heavy = skew.measure(pings, cfg)
+        pings = pings.select(headway.METRIC_COLUMNS)
     with stage("groupby_headway"):
-        flagged = _through_table(headway.flagged_headways(pings, cfg, heavy), f"{scratch}/flagged")
+        flagged = _through_table(headway.flagged_headways(pings, cfg), f"{scratch}/flagged")
     with stage("scoring"):
         segments = _through_table(metrics.segment_metrics(flagged, cfg), f"{scratch}/segments")
         routes = _through_table(metrics.route_scores(segments, cfg), f"{scratch}/routes")

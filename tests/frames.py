@@ -10,7 +10,7 @@ from headwise.operators.headway import FULL_ORDER
 
 T0 = dt.datetime(2024, 1, 1, 6, 0, 0)
 NAMES = schema.PINGS.names
-FINE = replace(DEFAULTS, split_rows=1)  # treat every group above a fair share as heavy
+FINE = replace(DEFAULTS, split_rows=1)  # every stop with two pings is sorted over several tasks
 
 
 def ping(minutes=0.0, vehicle="A", route="R1", stop="S1", **values):

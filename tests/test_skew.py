@@ -1,17 +1,20 @@
-"""Heavy stops, days and groups of copies give the same headways as a plain replay."""
+"""Series of any length give the same headways as a plain replay."""
 
 from __future__ import annotations
 
 import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from frames import FINE, NAMES, frame, ping, replay
-from headwise.operators import headway, metrics, probes, skew
+from headwise import DEFAULTS
+from headwise.operators import headway, metrics, probes, series
 
 
-def _random_pings(seed, hot_day=False, copies=0, copied_vehicle="A"):
+def _random_pings(seed, hot_day=False, copies=0, copied_vehicle="A", trips=0):
     rng = random.Random(seed)
     rows = []
     for _ in range(300):
@@ -29,6 +32,8 @@ def _random_pings(seed, hot_day=False, copies=0, copied_vehicle="A"):
     for _ in range(400):
         rows.append(ping(span[0] + rng.uniform(0, span[1]), rng.choice(["A", "B", None]), "R1", "S1", dwell_sec=rng.randrange(9)))
     rows += [ping(3 * 1440 + 100, copied_vehicle, "R1", "S1")] * copies
+    # One moment with many trips, no two alike.
+    rows += [ping(3 * 1440 + 100, rng.choice(["A", "B", None]), "R1", "S1", trip_id=f"T{i}") for i in range(trips)]
     rng.shuffle(rows)
     return rows
 
@@ -42,41 +47,75 @@ def _computed(df):
 def test_headways_under_skew(spark, hot_day, copies, vehicle):
     rows = _random_pings(1, hot_day, copies, vehicle)
     pings = frame(spark, rows)
-    heavy = skew.measure(pings, FINE)
-    assert heavy.stops is not None
-    assert (heavy.minutes is not None) == (copies > 0)
-    assert _computed(headway.headways(pings, FINE, heavy)) == replay(rows)
+    assert _computed(headway.headways(pings, FINE)) == replay(rows)
 
 
-def test_even_data_is_not_split(spark):
-    pings = frame(spark, [ping(i, f"V{i}", "R1", f"S{i % 40}") for i in range(400)])
-    assert skew.measure(pings, FINE) == skew.HeavyGroups()
+@pytest.mark.parametrize("partitions", [1, 4, 400])
+def test_a_heavy_minute_of_distinct_trips(spark, partitions):
+    rows = _random_pings(2, copies=40, trips=1500)
+    names = [c for c in headway.FULL_ORDER if c in NAMES]
+    found = series.with_previous(frame(spark, rows), headway.STOP, names, headway.PREVIOUS, partitions)
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    if partitions == 4:
+        assert len(sizes) == 4 and max(r["count"] for r in sizes) < len(rows) / 2
+    if partitions == 400:
+        assert len(sizes) > 100 and max(r["count"] for r in sizes) <= 60  # copies of one row stay together
+    seconds = F.unix_seconds(F.col("timestamp").cast("timestamp")) - F.unix_seconds(F.col("prev_timestamp").cast("timestamp"))
+    same = F.col("vehicle_id") == F.col("prev_vehicle_id")
+    assert _computed(found.withColumn("headway_sec", F.when(same, None).otherwise(seconds))) == replay(rows)
+
+
+def test_previous_rows_of_any_table(spark):
+    """Null series, ties, repeated rows, extra columns, an empty table; against a sort in plain Python."""
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, None]), rng.randrange(4), rng.random() < 0.5) for _ in range(500)]
+    table = spark.createDataFrame(data, "k string, at int, value long, last boolean")
+    got = series.with_previous(table, ["k"], ["at"], {"value": "before"}, 16)
+    assert got.columns == ["k", "at", "value", "last", "before"]
+    null_first = lambda row: [(x is not None, x) if x is not None else (False, 0) for x in row]
+    want, before = [], None
+    for row in sorted(data, key=null_first):
+        want.append((*row, before[2] if before and before[0] == row[0] else None))
+        before = row
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert series.with_previous(table.limit(0), ["k"], ["at"], {"value": "before"}).collect() == []
+
+
+def test_filters_stay_above_the_series(spark):
+    rows = _random_pings(5)
+    pings = frame(spark, rows)
+    late = F.col("timestamp") > F.lit("2024-01-05").cast("timestamp_ntz")
+    want = [r for r in replay(rows) if str(r[NAMES.index("timestamp")]) > "2024-01-05"]
+    for cfg in (FINE, DEFAULTS):
+        assert _computed(headway.headways(pings, cfg).where(late)) == want
 
 
-def test_small_data_is_never_split(spark):
-    pings = frame(spark, [ping(i, f"V{i}") for i in range(100)])
-    assert skew.measure(pings) == skew.HeavyGroups()
+def _plan(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
 
 
-def test_copies_are_counted_before_the_shuffle(spark):
-    rows = _random_pings(2, copies=2000)
-    pings = frame(spark, rows)
-    heavy = skew.measure(pings, FINE)
-    crowded = F.broadcast(heavy.minutes.withColumnRenamed("minute", "slice"))
-    dense = headway._slice(pings, heavy).join(crowded, [*headway.STOP, "slice"], "left_semi")
-    folded = headway._fold(dense)
-    assert folded.agg(F.sum("copies")).first()[0] == dense.count()
-    assert folded.count() < 20
+def test_nothing_runs_before_the_result_is_asked_for(spark):
+    pings = frame(spark, _random_pings(4)).where(F.assert_true(F.lit(False), "ran").isNull())
+    headway.headways(pings, FINE)
+    metrics.segments_from_pings(pings, FINE)
+    with pytest.raises(Exception, match="ran"):
+        headway.headways(pings, FINE).collect()
 
 
-def test_many_copies_come_back_whole(spark, monkeypatch):
-    monkeypatch.setattr(headway, "COPIES_PER_ROW", 7)
-    rows = _random_pings(3, copies=1000, copied_vehicle=None)
-    pings = frame(spark, rows)
-    assert _computed(headway.headways(pings, FINE)) == replay(rows)
+def test_only_long_stops_are_sorted_over_several_tasks(spark, tmp_path):
+    frame(spark, _random_pings(4)).write.parquet(str(tmp_path / "p"))
+    pings = spark.read.parquet(str(tmp_path / "p"))
+    plain = _plan(headway.headways(pings))
+    assert "rangepartitioning" not in plain and "ArrowEvalPython" not in plain
+    long = _plan(headway.headways(pings, replace(DEFAULTS, split_rows=200)))
+    assert "rangepartitioning" in long and "Window" in long
+    # Both readers of the range partitions read one shuffle.
+    assert len(re.findall(r"Exchange rangepartitioning", long)) == len(re.findall(r"ReusedExchange.*rangepartitioning|Exchange rangepartitioning", long))
 
 
-def test_metrics_do_not_depend_on_slicing(spark):
+def test_metrics_do_not_depend_on_splitting(spark):
     pings = frame(spark, _random_pings(4, hot_day=True, copies=500, copied_vehicle=None))
     split = metrics.segments_from_pings(pings, FINE)
     whole = metrics.segments_from_pings(pings)
@@ -87,7 +126,7 @@ def test_metrics_do_not_depend_on_slicing(spark):
     assert rows(split) == rows(whole)
 
 
-def test_fixed_stats_do_not_depend_on_slicing(spark):
+def test_fixed_stats_do_not_depend_on_splitting(spark):
     pings = frame(spark, _random_pings(5, copies=300))
 
     def rows(df):
@@ -106,17 +145,9 @@ def test_result_ignores_input_order_and_partitions(spark):
         assert _computed(headway.headways(pings, FINE)) == want
 
 
-def test_heavy_groups_are_bounded_by_partitions(spark):
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pings = frame(spark, _random_pings(9, hot_day=True, copies=500))
-    heavy = skew.measure(pings, FINE)
-    assert heavy.stops.count() < partitions
-    assert heavy.stops.agg(F.sum(F.size("heavy_days"))).first()[0] < partitions
-    assert heavy.minutes.count() < partitions
-
-
-def test_plain_data_needs_one_shuffle_for_daily_metrics(spark):
-    pings = frame(spark, [ping(i, f"V{i}", "R1", f"S{i % 40}") for i in range(400)])
-    plan = metrics.segments_from_pings(pings)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "latitude" not in plan.split("Exchange")[0]
+def test_plain_data_needs_one_shuffle_of_pings(spark, tmp_path):
+    frame(spark, [ping(i, f"V{i}", "R1", f"S{i % 40}") for i in range(400)]).write.parquet(str(tmp_path / "p"))
+    plan = _plan(metrics.segments_from_pings(spark.read.parquet(str(tmp_path / "p"))))
+    # One by (route, stop) for the headways, whose daily groups need no other; the other counts pings by stop.
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert "latitude" not in plan
