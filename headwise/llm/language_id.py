@@ -15,10 +15,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm import training
+from headwise.llm import storage, training
 
 #: Bounds of the model: labelled documents, words, n-grams of each order.
 TRAIN_DOCUMENTS, WORDS, GRAMS, ORDER = 20_000, 50_000, 20_000, 5
@@ -28,9 +29,18 @@ SMOOTHING = 0.5
 MEMO = 200_000
 #: As many words at most speak for a language, so that long texts don't all score 1.
 EVIDENCE = 20
+#: Letters of a word that are counted as one; what follows counts as a word of its own.
+LONGEST = 64
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[a-z]+")
+_ANY_LETTERS = regex.compile(r"\p{L}+")
+
+
+def letters(token: str) -> list[str]:
+    """The words of letters in a token, in lower case."""
+    token = token.lower()
+    return (_LETTERS if token.isascii() else _ANY_LETTERS).findall(token)
 
 
 @dataclass(frozen=True)
@@ -73,12 +83,15 @@ def train(documents: DataFrame) -> Model:
     """Fit on about TRAIN_DOCUMENTS of the given documents that have text and lang."""
     labelled = training.sample(documents.where("text is not null and lang is not null and doc_id is not null"), TRAIN_DOCUMENTS)
     words = (
-        labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+        labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{LONGEST}}})"), 1)).alias("word"))
         .groupBy("word", "lang")
         .agg(F.count(F.lit(1)).alias("n"))
         .persist()
     )
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
+    if not languages:
+        words.unpersist()
+        return Model([], {}, {}, np.zeros((0, 0)))
     padded = words.select(F.concat(F.lit("<"), "word", F.lit(">")).alias("word"), "lang", "n")
     grams: dict[str, np.ndarray] = {}
     for order in range(1, ORDER + 1):
@@ -110,7 +123,7 @@ class Reader:
 
     def _places(self, new: list[str]) -> list[int]:
         """Rows of tokens that weren't looked up before."""
-        words = [(k, self.model.rows(word)) for k, token in enumerate(new) for word in _LETTERS.findall(token.lower())]
+        words = [(k, self.model.rows(word)) for k, token in enumerate(new) for word in letters(token)]
         owner = np.array([k for k, _ in words], np.int64)
         sizes = np.array([len(rows) for _, rows in words], np.int64)
         rows = np.array([r for _, rows in words for r in rows], np.int64)

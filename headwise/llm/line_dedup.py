@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwise.llm import storage
+
 MIN_LINES = 3
 
 
@@ -25,7 +27,8 @@ def remove_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     doc_id comes after all others. Rows that repeat both doc_id and text are one document, so none makes the other a
     repetition; texts that share a doc_id are ordered by their hash. A column named like a new one is replaced.
     """
-    docs = documents.drop("n_lines", "n_removed", "_gone", "_text", "_lines")
+    docs = documents.drop("n_lines", "n_removed")
+    doc, key, lost, lines = (storage.unused(docs, x) for x in ("_doc", "_key", "_gone", "_lines"))
     text_key = F.xxhash64("text")
     hashed = docs.select("doc_id", text_key.alias("_text"), F.split("text", "\n").alias("lines")).select(
         "doc_id", "_text", F.transform("lines", lambda x: F.xxhash64(x)).alias("h")
@@ -52,19 +55,19 @@ def remove_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     first = shared.groupBy(held).agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = shared.join(first, held).where(F.struct("doc", "s") > F.col("first"))
     gone = later.groupBy("doc").agg(F.collect_set("s").alias("starts")).select(
-        F.col("doc.doc_id").alias("_doc"), F.col("doc._text").alias("_key"),
-        F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1)))).alias("_gone"),
+        F.col("doc.doc_id").alias(doc), F.col("doc._text").alias(key),
+        F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1)))).alias(lost),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key == F.col("_key"))
-    joined = docs.join(gone, same, "left").withColumn("_lines", F.split("text", "\n"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key == F.col(key))
+    joined = docs.join(gone, same, "left").withColumn(lines, F.split("text", "\n"))
     kept = F.transform(
-        F.array_except(F.sequence(F.lit(1), F.size("_lines")), F.col("_gone")), lambda i: F.element_at("_lines", i)
+        F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(lost)), lambda i: F.element_at(lines, i)
     )
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias(c) if c == "text" else c for c in docs.columns],
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col(lost).isNotNull(), F.size(lost)), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

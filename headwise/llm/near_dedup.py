@@ -39,8 +39,8 @@ FIRST = 2
 LEAF, PIVOTS = 64, 3
 #: Probability that fewer minwise tokens of a pair that is just similar enough agree than exact comparison asks for.
 UNLIKE = 5e-5
-#: Rows given to one call.
-TASK_ROWS = 512
+#: Rows given to one call, and bytes of shingle sets that it remembers.
+TASK_ROWS, KNOWN = 512, 32 << 20
 
 
 
@@ -218,11 +218,17 @@ def _compare(percent: int):
         """Links between components, enough to connect all that are linked inside each node."""
         links: list[tuple[int, int]] = []
         known: dict[int, np.ndarray] = {}
+        held = 0
         text = dict(zip(rows["class"], rows["text"], strict=True))
 
         def members(c: int) -> np.ndarray:
+            nonlocal held
             if c not in known:
+                if held > KNOWN:
+                    known.clear()
+                    held = 0
                 known[c] = next(shingle_sets([text[c]]))
+                held += known[c].nbytes
             return known[c]
 
         for _, node in rows.groupby("node", sort=False):
@@ -347,12 +353,13 @@ def representatives(documents: DataFrame, percent: int = 80) -> DataFrame:
     made from their text, greater than other doc_ids, and come back without one. Those with nothing but white space are
     like nothing and all stay.
     """
+    near, row = storage.unused(documents, "_near_id"), storage.unused(documents, "_near_row")
     spare = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    named = documents.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), spare))
+    named = documents.withColumn(near, F.coalesce(F.col("doc_id").cast("long"), spare))
     blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     full = named.where(~blank)
-    found = components(full.select(F.col("_near_id").alias("doc_id"), "text"), percent).where("kept")
-    first = Window.partitionBy("_near_id").orderBy(F.xxhash64("text"), "text")
-    rows = full.join(found.select(F.col("doc_id").alias("_near_id")).distinct(), "_near_id", "left_semi")
-    kept = rows.withColumn("_near_row", F.row_number().over(first)).where("_near_row = 1")
+    found = components(full.select(F.col(near).alias("doc_id"), "text"), percent).where("kept")
+    first = Window.partitionBy(near).orderBy(F.xxhash64("text"), "text")
+    rows = full.join(found.select(F.col("doc_id").alias(near)).distinct(), near, "left_semi")
+    kept = rows.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
     return kept.select(documents.columns).unionByName(named.where(blank).select(documents.columns))

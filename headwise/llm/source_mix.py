@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwise.llm import storage
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -57,18 +59,22 @@ def mix(documents: DataFrame, key: str = "doc_id", **plan) -> DataFrame:
     """
     new = ("size", "source_size", "target", "copies")
     sized = documents.drop(*new).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    plans = targets(sized.select("source", "size"), **plan).withColumnRenamed("source", "_source")
+    name = storage.unused(documents, "_source")
+    plans = targets(sized.select("source", "size"), **plan).withColumnRenamed("source", name)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
     extra = draw(F.col(key), SEED) < rate - F.floor(rate)
-    mixed = sized.join(plans, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    mixed = sized.join(plans, F.col("source").eqNullSafe(F.col(name))).drop(name)
     return mixed.withColumn("copies", (F.floor(rate) + extra.cast("int")).cast("long"))
 
 
 def emit(documents: DataFrame, **plan) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns it came with."""
-    mixed = mix(documents, **plan)
-    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    return mixed.select(*documents.columns, times).drop("_copy")
+    # Columns that mix() would replace come back as they were.
+    names = {c: storage.unused(documents, f"_{c}") for c in ("size", "source_size", "target", "copies") if c in documents.columns}
+    mixed = mix(documents.withColumnsRenamed(names), **plan)
+    name = storage.unused(mixed, "_copy")
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias(name)
+    return mixed.select(*[F.col(names.get(c, c)).alias(c) for c in documents.columns], times).drop(name)
 
 
 ORACLE = rf"""

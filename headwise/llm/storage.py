@@ -7,16 +7,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A batch is held several times over in a worker, and in the executor beside it.
+BATCH_BYTES = 4 << 20
+
 
 def folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="headwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get texts in batches of at most BATCH_BYTES (a longer text alone), whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: what follows neither recomputes it nor depends on lost executors."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm import near_dedup, training
+from headwise.llm import near_dedup, storage, training
 
 #: Bounds of the model: labelled documents of either kind, words looked at as landmarks at a time, and landmarks beyond
 #: those that each cover SUPPORT texts which no other one covers.
@@ -366,5 +366,6 @@ def score(text: Column, model: Model) -> Column:
 
 def clean(documents: DataFrame, model: Model) -> DataFrame:
     """The documents that score below THRESHOLD, with the columns they came with."""
-    scored = documents.select(*documents.columns, score(F.col("text"), model).alias("_toxicity"))
-    return scored.where(F.col("_toxicity") < THRESHOLD).select(documents.columns)
+    name = storage.unused(documents, "_toxicity")
+    scored = documents.select(*documents.columns, score(F.col("text"), model).alias(name))
+    return scored.where(F.col(name) < THRESHOLD).select(documents.columns)
