@@ -81,6 +81,7 @@ def _table(counts: DataFrame, key: str, languages: list[str], most: int) -> dict
 
 def train(documents: DataFrame) -> Model:
     """Fit on about TRAIN_DOCUMENTS of the given documents that have text and lang."""
+    storage.small_batches(documents.sparkSession)
     labelled = training.sample(documents.where("text is not null and lang is not null and doc_id is not null"), TRAIN_DOCUMENTS)
     words = (
         labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{LONGEST}}})"), 1)).alias("word"))

@@ -303,6 +303,7 @@ def components(documents: DataFrame, percent: int = 80) -> DataFrame:
     nothing either: its component_id is null and it is kept. Rows that repeat a doc_id are versions of one document, so
     they share a component. An empty table gives an empty table. Other columns are ignored.
     """
+    storage.small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketches = storage.staged(
         texts.withColumn("doc_id", F.col("doc_id").cast("string"))

@@ -111,6 +111,7 @@ def count(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     repeated rows come back as often. An empty table gives an empty table. All columns stay; one that has a new name is
     replaced.
     """
+    storage.small_batches(documents.sparkSession)
     return documents.withColumns(
         {"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "n_tokens": n_tokens(F.col("text"), path)}
     ).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -366,6 +366,7 @@ def score(text: Column, model: Model) -> Column:
 
 def clean(documents: DataFrame, model: Model) -> DataFrame:
     """The documents that score below THRESHOLD, with the columns they came with."""
+    storage.small_batches(documents.sparkSession)
     name = storage.unused(documents, "_toxicity")
     scored = documents.select(*documents.columns, score(F.col("text"), model).alias(name))
     return scored.where(F.col(name) < THRESHOLD).select(documents.columns)
