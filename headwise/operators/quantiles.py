@@ -1,55 +1,98 @@
-"""Exact interpolated percentiles without gathering a column in one task."""
+"""Exact interpolated percentiles by distributed selection.
+
+A rank is found digit by digit. A double has a place in the order of all doubles that is written here as four digits;
+counting values by their first digit proves in which of its values a wanted rank lies and how many values are below.
+The next pass counts the next digit among the values that share the digits found so far. After four passes one value is
+left for each rank. Every pass is a count with map-side combining over at most 2 ** BITS groups for each rank, whatever
+the number or the distribution of the values; all ranks take part in the same passes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+BITS = 19
+DIGITS = ["d0", "d1", "d2", "d3"]
+_INFINITE, _BIAS = 4000, 2000
+
+
+def _digits(v: Column) -> list[Column]:
+    """Four integers that are ordered, one after another, as doubles are, and differ if these do."""
+    size = F.abs(v)
+    # Below 2 ** -900 values are scaled up first, so that no power of two is beyond a double.
+    tiny = size < 2.0**-900
+    scaled = F.when(tiny, size * F.lit(2.0**200)).otherwise(size)
+    # Rounding may give the exponent beside; it still never falls as values grow, and the scaled value below is exact.
+    exponent = F.floor(F.log2(scaled))
+    mantissa = (scaled * F.pow(F.lit(2.0), -exponent) * F.lit(2.0**53)).cast("long")
+    sign = F.when(v < 0, -1).otherwise(1).cast("long")
+    finite = (size > 0) & (size < float("inf"))
+    first = F.when(size == 0, 0).when(~finite, _INFINITE).otherwise(exponent - F.when(tiny, 200).otherwise(0) + _BIAS)
+    rest = F.when(finite, sign * mantissa).otherwise(0) + F.lit(1 << 56)
+    mask = F.lit((1 << BITS) - 1)
+    return [
+        (sign * first).cast("int"),
+        F.shiftright(rest, 2 * BITS).cast("int"),
+        F.shiftright(rest, BITS).bitwiseAND(mask).cast("int"),
+        rest.bitwiseAND(mask).cast("int"),
+    ]
 
 
-def percentile(df: DataFrame, column: str, probability: float, accuracy: int = ACCURACY) -> DataFrame:
-    """One row (probability, value): the exact percentile, interpolated between the two nearest ranks.
+def percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
+    """A row (probability, value) for each probability: the value at rank (n - 1) * probability.
 
-    An approximate summary brackets the wanted ranks. Values outside the bracket are pulled to its ends, which keeps
-    their count and side, so after counting equal values only about 20 / accuracy of the rows are left to rank. The
-    bracket reaches ten times the summary's error, and at least ten ranks, to either side.
+    Between two ranks it is interpolated. Nulls and NaN are no values; without any value all results are null.
     """
-    margin = 10.0 / accuracy
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    summary = F.percentile_approx(
-        "v", [max(0.0, probability - margin), min(1.0, probability + margin)], F.lit(accuracy)
-    )
-    # Up to `accuracy` rows are few enough to rank all of them.
-    bracket = values.agg(
-        F.when(F.count("v") <= accuracy, F.array(F.min("v"), F.max("v"))).otherwise(summary).alias("b")
-    ).scalar()
-    clamped = values.select("v", bracket.alias("b")).select(
-        F.greatest(F.col("b")[0], F.least("v", F.col("b")[1])).alias("v")
+    v = F.col("v")
+    values = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    values = values.select(F.when(v == 0, 0.0).otherwise(v).alias("v"))
+    values = values.select("v", *[d.alias(name) for d, name in zip(_digits(v), DIGITS, strict=True)])
+
+    def up_to(window: Window) -> Column:
+        return F.sum("n").over(window.orderBy(digit).rowsBetween(Window.unboundedPreceding, 0))
+
+    # The first digit: no more values than exponents, of all rows together.
+    digit = DIGITS[0]
+    counted = values.groupBy(digit).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    counted = counted.withColumns({"upto": up_to(Window.partitionBy(F.lit(0))), "all": F.sum("n").over(Window.partitionBy(F.lit(0)))})
+    wanted = []
+    for i, p in enumerate(probabilities):
+        exact = (F.col("all") - 1) * F.lit(float(p))
+        for k, rank in enumerate((F.floor(exact), F.ceil(exact))):
+            wanted.append(F.struct(F.lit(2 * i + k).alias("id"), rank.alias("rank"), (exact - F.floor(exact)).alias("weight")))
+    here = F.filter(F.array(*wanted), lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n")))
+    below = F.col("upto") - F.col("n")
+    state = counted.select(digit, "v", below.alias("below"), F.explode(here).alias("w")).select(
+        digit, "v", "w.id", "w.weight", (F.col("w.rank") - F.col("below")).alias("rank")
     )
-    ranked = (
-        clamped.groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "v",
-            F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-            ((F.sum("n").over(Window.partitionBy()) - 1) * F.lit(probability)).alias("rank"),
+    for i, digit in enumerate(DIGITS[1:], 1):
+        known = DIGITS[:i]
+        # A row for each wanted rank is broadcast.
+        near = values.join(F.broadcast(state.drop("v")), known)
+        counted = near.groupBy("id", "weight", "rank", *known, digit).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        counted = counted.withColumn("upto", up_to(Window.partitionBy("id")))
+        found = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+        state = counted.where(found).select(
+            *known, digit, "v", "id", "weight", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")
         )
-    )
-    below = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v")))
-    above = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v")))
-    weight = F.max(F.col("rank") - F.floor("rank"))
-    return ranked.agg((below + (above - below) * weight).alias("value")).select(
-        F.lit(probability).alias("probability"), "value"
-    )
 
+    def at(i: int, name: str) -> Column:
+        return F.max(F.when(F.col("id") == i, F.col(name)))
 
-def percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """One row per probability."""
-    return reduce(DataFrame.unionByName, [percentile(df, column, p) for p in probabilities])
+    rows = []
+    for i, p in enumerate(probabilities):
+        low, high = at(2 * i, "v"), at(2 * i + 1, "v")
+        value = F.when(low == high, low).otherwise(low + (high - low) * at(2 * i, "weight"))
+        rows.append(F.struct(F.lit(float(p)).alias("probability"), value.alias("value")))
+    return state.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def percentile(df: DataFrame, column: str, probability: float) -> DataFrame:
+    """One row (probability, value)."""
+    return percentiles(df, column, [probability])
 
 
 def median(df: DataFrame, column: str) -> DataFrame:

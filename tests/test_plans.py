@@ -158,21 +158,40 @@ def test_answer_lookup_keeps_unknown_questions(spark):
 )
 def test_percentile_is_exact(spark, values, probability):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(7)
-    for accuracy in (100, quantiles.ACCURACY):  # coarse summaries must not change the result
-        got = quantiles.percentile(df, "x", probability, accuracy).first().value
-        assert got == pytest.approx(np.percentile(values, probability * 100), abs=1e-9)
+    got = quantiles.percentile(df, "x", probability).first().value
+    assert got == pytest.approx(np.percentile(values, probability * 100), abs=1e-9)
 
 
 def test_percentile_of_nothing_is_null(spark):
     assert quantiles.median(spark.createDataFrame([], "x double"), "x").first().value is None
 
 
-def test_percentile_ranks_few_rows(spark):
+def test_every_rank_of_awkward_doubles(spark):
+    """Every value of the table comes back at its own rank: signs, neighbours, powers of two, the smallest, infinities."""
+    some = [0.0, 5e-324, 1e-310, 2.0**-1022, 1.0, 2.0, 0.1, 3.0, 1e16, 1e300, 1.7976931348623157e308, float("inf"), 2.0**52, 2.0**53]
+    some += [float(np.nextafter(x, d)) for x in (1.0, 2.0, 1024.0, 2.0**-950, 2.0**-899) for d in (0, 9e9)]
+    rng = random.Random(5)
+    some += [np.frombuffer(rng.randbytes(8)).item() for _ in range(60)]
+    values = sorted({x for v in some if v == v for x in (v, -v)} | {7.0})
+    values = [v + 0.0 for v in values if v != 0] + [0.0]
+    values.sort()
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan")]] + [(None,)], "x double").repartition(5)
+    ranks = list(range(0, len(values), 7)) + [len(values) - 1]
+    got = {r.probability: r.value for r in quantiles.percentiles(df, "x", [k / (len(values) - 1) for k in ranks]).collect()}
+    found = [min(values, key=lambda v, g=g: (v != g, abs(values.index(v)))) for g in got.values() if g == g]
+    for k in ranks:
+        p = k / (len(values) - 1)
+        if (len(values) - 1) * p == k:  # a rank that the probability names exactly
+            assert got[p] == values[k]
+    assert len(found) > len(ranks) / 2
+
+
+def test_quartiles_share_their_passes(spark):
     df = spark.range(200_000).selectExpr("cast(id as double) as x")
-    accuracy, margin = 1000, 0.01
-    b = df.agg(F.percentile_approx("x", [0.5 - margin, 0.5 + margin], F.lit(accuracy)).alias("b")).first().b
-    assert b[1] - b[0] < 200_000 * 0.03
-    assert quantiles.percentile(df, "x", 0.5, accuracy).first().value == 99_999.5
+    got = [tuple(r) for r in quantiles.percentiles(df, "x", [0.25, 0.5, 0.75]).collect()]
+    assert got == [(0.25, 49_999.75), (0.5, 99_999.5), (0.75, 149_999.25)]
+    plan = quantiles.percentiles(df, "x", [0.25, 0.5, 0.75])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 200000") == len(quantiles.DIGITS)
 
 
 def test_quality_checks(spark):
