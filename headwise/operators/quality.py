@@ -41,14 +41,19 @@ def quality_checks(routes: DataFrame, segments: DataFrame) -> DataFrame:
     per_date = routes.groupBy("date").agg(
         F.avg((F.abs("wow_trend") > MOVING_TREND).cast("int")).alias("moving_share")
     )
-    dates = per_date.agg(F.count("date").alias("value"))
-    moving = per_date.agg(F.max_by("moving_share", "date").alias("value"))
+    by_date = per_date.agg(F.count("date").alias("dates"), F.max_by("moving_share", "date").alias("moving")).select(
+        F.inline(
+            F.array(
+                _named("distinct_dates", "dates", F.col("dates") >= MIN_DATES),
+                _named("moving_trend_share", "moving", F.col("moving") > MOVING_SHARE),
+            )
+        )
+    )
     return (
         _check(median_headway, "median_headway_min", value.between(*MEDIAN_HEADWAY_MIN))
         .unionByName(_check(bunching, "max_route_bunching_rate", value.between(*BUNCHING_RATE)))
         .unionByName(_check(dwell, "dwell_std", value > 0))
-        .unionByName(_check(dates, "distinct_dates", value >= MIN_DATES))
-        .unionByName(_check(moving, "moving_trend_share", value > MOVING_SHARE))
+        .unionByName(by_date)
     )
 
 
@@ -131,3 +136,13 @@ def describe(df: DataFrame, *columns: str) -> DataFrame:
         )
         rows = row if rows is None else rows.unionByName(row)
     return rows
+
+
+def all_checks(routes: DataFrame, segments: DataFrame, min_trips: int = CLEAN_MIN_TRIPS) -> DataFrame:
+    """Every check of the published tables, a row each: check, value, passed."""
+    clean = clean_fraction_check(segments, min_trips).agg(F.count_if(~F.col("passed")).alias("value"))
+    return (
+        quality_checks(routes, segments)
+        .unionByName(dwell_spread(routes))
+        .unionByName(_check(clean, "stops_with_round_rates", F.col("value") == 0))
+    )

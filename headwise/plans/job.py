@@ -1,18 +1,19 @@
-"""The batch job: pings in, checked tables out."""
+"""The batch job: pings in, checked tables and reports out, published as one snapshot."""
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from headwise.config import DEFAULTS, ReliabilityConfig
 from headwise.operators import headway, metrics, quality
+from headwise.plans import decisions, reports
 from headwise.sources import pings as ping_source
-from headwise.sources import tables
+from headwise.sources import snapshots, tables
 
 
 class QualityError(RuntimeError):
@@ -23,22 +24,6 @@ class QualityError(RuntimeError):
         self.failed = failed
 
 
-def scratch_dir(spark: SparkSession, output_dir: str) -> str:
-    """This output's folder in the shared checkpoint folder that the session names; the next run replaces it.
-
-    Only where the session names none (single-machine use) does it lie next to the output.
-    """
-    output_dir = output_dir.rstrip("/")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{output_dir}/_scratch"
-    return f"{shared.rstrip('/')}/headwise-{hashlib.sha256(output_dir.encode()).hexdigest()[:16]}"
-
-
-def _through_table(df: DataFrame, path: str) -> DataFrame:
-    """Write and read back: later steps neither recompute the input nor depend on the executors that made it."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run(
     spark: SparkSession,
     pings: DataFrame,
@@ -48,8 +33,10 @@ def run(
 ) -> dict[str, float]:
     """Compute, check, publish; returns the seconds each stage took.
 
-    Headways are shuffled once and kept as a table, because metrics and anomaly events both read them. The checks run
-    on the finished metrics before anything is published.
+    Everything is written once, into a folder of this run: flagged headways, which metrics and anomaly events both read
+    and which are removed in the end, then the tables, each made from the one before as written, so later steps neither
+    recompute it nor depend on the executors that made it. Checks run on the written tables; only then they are
+    published, together. A run that fails leaves what was published before, and nothing of its own.
     """
     seconds: dict[str, float] = {}
 
@@ -59,25 +46,34 @@ def run(
         yield
         seconds[name] = time.perf_counter() - start
 
-    scratch = scratch_dir(spark, output_dir)
-    with stage("load"):
-        pings = pings.select(headway.METRIC_COLUMNS)
-    with stage("groupby_headway"):
-        flagged = _through_table(headway.flagged_headways(pings, cfg), f"{scratch}/flagged")
-    with stage("scoring"):
-        segments = _through_table(metrics.segment_metrics(flagged, cfg), f"{scratch}/segments")
-        routes = _through_table(metrics.route_scores(segments, cfg), f"{scratch}/routes")
-    with stage("validate"):
-        checks = quality.quality_checks(routes, segments)
-        report = checks.collect()  # one row per check
-        tables.write_json(spark.createDataFrame(report, checks.schema), f"{output_dir}/quality_checks")
-        failed = [row.check for row in report if not row.passed]
-        if failed and not publish_failed:
-            raise QualityError(failed)
-    with stage("save"):
-        tables.publish(routes, output_dir, tables.ROUTE_SCORES)
-        tables.publish(segments, output_dir, tables.SEGMENT_METRICS)
-        tables.publish(headway.anomaly_events(flagged), output_dir, tables.ANOMALY_EVENTS)
+    own = snapshots.begin(spark, output_dir)
+    try:
+        with stage("load"):
+            pings = pings.select(headway.METRIC_COLUMNS)
+        with stage("groupby_headway"):
+            flagged = headway.flagged_headways(pings, cfg)
+            flagged.write.parquet(own.path("flagged"))
+            flagged = spark.read.schema(flagged.schema).parquet(own.path("flagged"))
+        with stage("scoring"):
+            segments = metrics.segment_metrics(flagged, cfg)
+            segments = tables.write_table(segments, own.path(tables.SEGMENT_METRICS), tables.SEGMENT_METRICS)
+            routes = metrics.route_scores(segments, cfg)
+            routes = tables.write_table(routes, own.path(tables.ROUTE_SCORES), tables.ROUTE_SCORES)
+        with stage("validate"):
+            checks = quality.quality_checks(routes, segments)
+            report = checks.collect()  # one row per check
+            failed = [row.check for row in report if not row.passed]
+            if failed and not publish_failed:
+                raise QualityError(failed)
+        with stage("save"):
+            events = headway.anomaly_events(flagged)
+            tables.write_table(events, own.path(tables.ANOMALY_EVENTS), tables.ANOMALY_EVENTS)
+            tables.write_json(spark.createDataFrame(report, checks.schema), own.path(tables.QUALITY_CHECKS))
+            own.drop("flagged")
+            snapshots.publish(own, [*tables.OUTPUT_TABLES, tables.QUALITY_CHECKS])
+    except BaseException:
+        own.discard()
+        raise
     return seconds
 
 
@@ -85,3 +81,37 @@ def run_from_paths(
     spark: SparkSession, input_dir: str, output_dir: str, cfg: ReliabilityConfig = DEFAULTS, publish_failed: bool = False
 ) -> dict[str, float]:
     return run(spark, ping_source.read_pings(spark, input_dir), output_dir, cfg, publish_failed)
+
+
+def published(spark: SparkSession, output_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Route scores and segment metrics of the newest run."""
+    paths = snapshots.current(spark, output_dir)
+    if not {tables.ROUTE_SCORES, tables.SEGMENT_METRICS} <= set(paths):
+        raise FileNotFoundError(f"nothing published in {output_dir}")
+    return tuple(tables._read(spark, paths[name], name) for name in (tables.ROUTE_SCORES, tables.SEGMENT_METRICS))
+
+
+def write_reports(spark: SparkSession, input_dir: str, output_dir: str, cfg: ReliabilityConfig = DEFAULTS) -> str:
+    """Answers to the report questions, from the published tables, as JSON next to them; returns their path."""
+    routes, segments = published(spark, output_dir)
+    answers = reports.answers(routes, segments, ping_source.read_pings(spark, input_dir), cfg=cfg)
+    path = f"{output_dir.rstrip('/')}/{tables.ANSWERS}"
+    tables.write_json(answers, path)
+    return path
+
+
+def reconcile(spark: SparkSession, output_dir: str) -> DataFrame:
+    """The stored answers against the published tables."""
+    routes, segments = published(spark, output_dir)
+    stored = tables.read_answers(spark, f"{output_dir.rstrip('/')}/{tables.ANSWERS}")
+    return reports.reconcile(stored, routes, segments)
+
+
+def check(spark: SparkSession, output_dir: str, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
+    """All checks of the published tables, and whether they give every decision card: check, value, passed."""
+    routes, segments = published(spark, output_dir)
+    n = F.count(F.lit(1))
+    cards = decisions.decision_cards(segments, routes, cfg).agg(
+        F.lit("decision_cards").alias("check"), n.cast("double").alias("value"), (n == cfg.n_cards).alias("passed")
+    )
+    return quality.all_checks(routes, segments).unionByName(cards)

@@ -60,22 +60,22 @@ def fix_first(routes: DataFrame, segments: DataFrame, pings: DataFrame, n: int =
             "gap_pct",
             F.when(bunched, "bunching").otherwise("gap").alias("driver"),
             F.concat(
-                F.when(bunched, "Severe bunching rate of **").otherwise("Service gaps rate of **"),
+                F.when(bunched, "vehicles arrive in bunches, **").otherwise("waits are too long, **"),
                 rate,
-                F.lit("%** near "),
+                F.lit("%** of the arrivals at "),
                 "stop_id",
             ).alias("key_anomaly"),
             F.when(
                 bunched,
                 F.concat(
-                    F.lit("Introduce holding point at stop "),
+                    F.lit("let early vehicles wait at "),
                     "stop_id",
-                    F.lit(", target headway "),
+                    F.lit(" until "),
                     text.fixed(F.col("scheduled_min"), 1),
-                    F.lit(" min."),
+                    F.lit(" min lie between them."),
                 ),
             )
-            .otherwise(F.concat(F.lit("Add 1 trip in the peak band on Route "), "route_id", F.lit(".")))
+            .otherwise(F.concat(F.lit("run one more peak trip on "), "route_id", F.lit(".")))
             .alias("action"),
         )
         .orderBy("place")
@@ -226,10 +226,32 @@ def reported_numbers(answer_table: DataFrame) -> DataFrame:
     )
 
 
+def expected_numbers(answer_table: DataFrame, routes: DataFrame, segments: DataFrame, n: int = 5) -> DataFrame:
+    """What the stored questions must be answered with: (kind, key, metric), whatever their answers say.
+
+    The question what to fix first asks for the scores of the n worst routes, the question about a route for its trend,
+    the comparison of day types for all metrics of each. The two general questions are always expected.
+    """
+    asked = answer_table.select(text.question_key(F.col("question")).alias("question")).distinct()
+    worst = serving.leaderboard(routes).limit(n).select("route_id", F.lit("reliability_score").alias("metric"))
+    before, after = ROUTE_CHANGE.split("{}")
+    question = F.concat(F.lit(before), F.lower("route_id"), F.lit(after))
+    changed = serving.on_latest_date(routes).join(asked, question == F.col("question"), "left_semi")
+    trends = F.explode(F.array(F.lit("abs_wow_trend"), F.lit("wow_trend")))
+    about_routes = worst.unionByName(changed.select("route_id", trends.alias("metric")))
+    types = metrics.weekday_weekend(routes, segments).select(
+        F.lit("day_type").alias("kind"), F.col("day_type").alias("key"), F.explode(F.array(*map(F.lit, DAY_TYPE_METRICS))).alias("metric")
+    )
+    return about_routes.select(F.lit("route").alias("kind"), F.col("route_id").alias("key"), "metric").unionByName(types)
+
+
 def reconcile(
     answer_table: DataFrame, routes: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """Reported numbers next to the recomputed ones; a number without counterpart does not pass."""
+    """Reported numbers next to the recomputed ones, from both sides.
+
+    A number without counterpart does not pass, and neither does one that a stored question asks for and no answer has.
+    """
 
     def long(table: DataFrame, kind: str, key: str, values: dict[str, Column]) -> DataFrame:
         pairs = [F.struct(F.lit(m).alias("metric"), v.cast("double").alias("actual")) for m, v in values.items()]
@@ -241,9 +263,11 @@ def reconcile(
     actual = long(serving.on_latest_date(routes), "route", "route_id", route_values).unionByName(
         long(metrics.weekday_weekend(routes, segments), "day_type", "day_type", day_values)
     )
+    number = ["kind", "key", "metric"]
     return (
         reported_numbers(answer_table)
-        .join(actual, ["kind", "key", "metric"], "left")
+        .join(expected_numbers(answer_table, routes, segments), number, "full")
+        .join(actual, number, "left")
         .withColumn(
             "passed", F.coalesce(F.abs(F.col("actual") - F.col("reported")) <= tolerance, F.lit(False))
         )

@@ -43,3 +43,10 @@ ANOMALIES = _schema(
     "headway_min DOUBLE, scheduled_headway_min DOUBLE, is_bunching BOOLEAN, is_gap BOOLEAN, "
     "anomaly_type STRING, timestamp_str STRING"
 )
+
+#: The partition column of the published events.
+EVENT_DATE = "event_date"
+
+
+def string(name: str) -> T.StructField:
+    return T.StructField(name, T.StringType())

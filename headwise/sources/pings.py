@@ -17,6 +17,20 @@ def read_pings(spark: SparkSession, *paths: str) -> DataFrame:
     return normalize_pings(spark.read.parquet(*paths))
 
 
+def for_counting(spark: SparkSession, *paths: str) -> DataFrame:
+    """The rows of Parquet files for COUNT(*), and for minima and maxima, which Spark then takes from the files' footers.
+
+    Only Spark's second reader can do so. Where a query asks for more than counts, the same DataFrame is scanned.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    first_readers = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in first_readers.split(",") if x.strip() != "parquet"))
+    try:
+        return spark.read.parquet(*paths)
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", first_readers)
+
+
 def normalize_pings(pings: DataFrame) -> DataFrame:
     """Cast to the ping schema, fill in a missing date, and drop rows that belong to no stop series.
 
@@ -28,40 +42,6 @@ def normalize_pings(pings: DataFrame) -> DataFrame:
     return pings.selectExpr(typed).where("route_id IS NOT NULL AND stop_id IS NOT NULL AND timestamp IS NOT NULL")
 
 
-def pings_from_events(events: DataFrame) -> DataFrame:
-    """Read a user event stream as pings: 20 routes with one stop per event type.
-
-    Fixed values: the id formats, the position of each event type along a route, the schedule and boardings bands.
-    """
-    numbered = events.selectExpr(
-        "ts",
-        "event_type",
-        "user_id",
-        "user_id % 20 + 1 AS n",
-        "lpad(string(user_id % 20 + 1), 3, '0') AS nnn",
-        "floor(value) AS whole",
-        "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
-        " AS seq",
-        "string(date(ts)) AS date",
-    )
-    return normalize_pings(
-        numbered.selectExpr(
-            "ts AS timestamp",
-            "'BUS_' || nnn || '_' || lpad(string(whole % 8), 2, '0') AS vehicle_id",
-            "'RT-' || nnn AS route_id",
-            "'STOP_' || nnn || '_' || event_type AS stop_id",
-            "seq AS stop_sequence",
-            "28.40D + n * 0.02D + seq * 0.002D AS latitude",
-            "76.84D + n * 0.02D + seq * 0.003D AS longitude",
-            "'TRIP_' || string(user_id) || '_' || date AS trip_id",
-            "3600 * (4 + 2 * (n % 3)) AS scheduled_headway_sec",
-            "whole + 15 AS dwell_sec",
-            "CASE n % 3 WHEN 0 THEN 2500 WHEN 1 THEN 6000 ELSE 15000 END AS route_base_boardings",
-            "date",
-        )
-    )
-
-
 def pings_for_day(pings: DataFrame, date: str) -> DataFrame:
     """One date; on a date-partitioned directory this reads only that partition."""
     return pings.where(F.col("date") == date)

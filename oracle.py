@@ -154,13 +154,13 @@ fix_first AS (
   SELECT CAST(f.place AS INTEGER) AS place, f.route_id, f.reliability_score, w.stop_id, w.bunching_pct, w.gap_pct,
     CASE WHEN w.bunching_pct > w.gap_pct THEN 'bunching' ELSE 'gap' END AS driver,
     CASE WHEN w.bunching_pct > w.gap_pct
-      THEN 'Severe bunching rate of **' || printf('%.1f', round(w.bunching_pct, 1)) || '%** near ' || w.stop_id
-      ELSE 'Service gaps rate of **' || printf('%.1f', round(w.gap_pct, 1)) || '%** near ' || w.stop_id
+      THEN 'vehicles arrive in bunches, **' || printf('%.1f', round(w.bunching_pct, 1)) || '%** of the arrivals at ' || w.stop_id
+      ELSE 'waits are too long, **' || printf('%.1f', round(w.gap_pct, 1)) || '%** of the arrivals at ' || w.stop_id
     END AS key_anomaly,
     CASE WHEN w.bunching_pct > w.gap_pct
-      THEN 'Introduce holding point at stop ' || w.stop_id || ', target headway '
-        || printf('%.1f', round(s.scheduled_min, 1)) || ' min.'
-      ELSE 'Add 1 trip in the peak band on Route ' || f.route_id || '.' END AS action
+      THEN 'let early vehicles wait at ' || w.stop_id || ' until '
+        || printf('%.1f', round(s.scheduled_min, 1)) || ' min lie between them.'
+      ELSE 'run one more peak trip on ' || f.route_id || '.' END AS action
   FROM five f JOIN worst_stops w USING (route_id) JOIN schedules s USING (route_id))"""
 
 ROUTE_CHANGE = """

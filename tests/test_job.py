@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 import sys
 
@@ -15,7 +16,7 @@ from headwise import schema
 from headwise.operators import headway, metrics, schedule
 from headwise.plans import job, reports, serving
 from headwise.sources import pings as ping_source
-from headwise.sources import tables
+from headwise.sources import snapshots, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -69,7 +70,9 @@ def test_published_tables_equal_the_operators(spark, network, output_dir):
         network.segments.select(schema.SEGMENTS.names))
     assert rows(tables.read_table(spark, output_dir, tables.ROUTE_SCORES)) == rows(
         network.routes.select(schema.ROUTES.names))
-    assert rows(tables.read_table(spark, output_dir, tables.ANOMALY_EVENTS)) == rows(network.events)
+    events = tables.read_table(spark, output_dir, tables.ANOMALY_EVENTS)
+    assert rows(events.select(schema.ANOMALIES.names)) == rows(network.events)
+    assert events.where("event_date != left(timestamp_str, 10)").count() == 0
 
 
 def test_property_invariants(network):
@@ -99,7 +102,9 @@ def test_views_and_catalog(spark, output_dir, tmp_path):
 
 def test_missing_tables_are_skipped(spark, tmp_path):
     assert tables.register_views(spark, str(tmp_path)) == []
-    assert tables.load_catalog(spark, str(tmp_path), "default") == []
+    assert tables.read_table(spark, str(tmp_path), tables.ROUTE_SCORES) is None
+    with pytest.raises(FileNotFoundError, match="route_scores"):
+        tables.load_catalog(spark, str(tmp_path), "default")
 
 
 def test_failed_checks_stop_publication(spark, ping_dir, tmp_path):
@@ -107,7 +112,104 @@ def test_failed_checks_stop_publication(spark, ping_dir, tmp_path):
         job.run_from_paths(spark, ping_dir, str(tmp_path))
     assert "median_headway_min" in error.value.failed
     assert tables.read_table(spark, str(tmp_path), tables.ROUTE_SCORES) is None
-    assert spark.read.json(f"{tmp_path}/quality_checks").count() == 5
+    assert not list(tmp_path.glob("runs/*"))
+
+
+def test_a_failure_between_tables_publishes_none(spark, ping_dir, output_dir, monkeypatch):
+    before = snapshots.current(spark, output_dir)
+    write = tables.write_table
+
+    def broken(df, path, table):
+        if table == tables.ANOMALY_EVENTS:
+            raise OSError("disk full")
+        return write(df, path, table)
+
+    monkeypatch.setattr(tables, "write_table", broken)
+    with pytest.raises(OSError, match="disk full"):
+        job.run_from_paths(spark, ping_dir, output_dir, publish_failed=True)
+    assert snapshots.current(spark, output_dir) == before
+    assert tables.read_table(spark, output_dir, tables.SEGMENT_METRICS).count() > 0
+    assert len(os.listdir(f"{output_dir}/runs")) == 1
+
+
+def test_two_runs_on_one_output(spark, tmp_path):
+    """Runs that overlap publish one after the other, each whole; only unread old ones go."""
+    first, second, third = (snapshots.begin(spark, str(tmp_path)) for _ in range(3))
+    for run, n in ((first, 1), (second, 2), (third, 3)):
+        spark.range(n).write.parquet(run.path("a"))
+    for run, n in ((second, 2), (first, 1)):
+        spark.range(n).write.parquet(run.path("b"))
+    assert snapshots.publish(second, ["a", "b"]) == 1
+    reader = snapshots.current(spark, str(tmp_path))
+    assert snapshots.publish(first, ["a", "b"]) == 2
+    now = snapshots.current(spark, str(tmp_path))
+    assert {spark.read.parquet(path).count() for path in now.values()} == {1}
+    assert {spark.read.parquet(path).count() for path in reader.values()} == {2}  # who began before still reads
+    assert snapshots.publish(third, ["a"]) == 3
+    assert sorted(os.listdir(tmp_path / "runs")) == sorted([first.name, third.name])
+    # A taken number is never taken again.
+    assert not third.folder.create("{}", "manifests", f"{3:012d}")
+    third.discard()
+    assert os.listdir(tmp_path / "runs") == [first.name]
+
+
+def test_a_failed_load_changes_nothing(spark, output_dir, tmp_path, monkeypatch):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS headwise_load LOCATION '{tmp_path}/db'")
+    try:
+        tables.load_catalog(spark, output_dir, "headwise_load")
+        before = {r.tableName for r in spark.sql("SHOW TABLES IN headwise_load").collect()}
+        read = tables._read
+
+        def broken(spark, path, table):
+            found = read(spark, path, table)
+            return found.where(F.raise_error(F.lit("lost"))) if table == tables.ANOMALY_EVENTS else found
+
+        monkeypatch.setattr(tables, "_read", broken)
+        with pytest.raises(Exception, match="lost"):
+            tables.load_catalog(spark, output_dir, "headwise_load")
+        assert {r.tableName for r in spark.sql("SHOW TABLES IN headwise_load").collect()} == before
+        assert spark.table("headwise_load.route_scores").count() > 0
+    finally:
+        spark.sql("DROP DATABASE headwise_load CASCADE")
+
+
+def test_newest_events_read_only_their_days(spark, network, output_dir):
+    events = tables.read_table(spark, output_dir, tables.ANOMALY_EVENTS)
+    for given in ({}, {"route_id": "RT-010"}, {"anomaly_type": "gap", "limit": 7}, {"route_id": "none"}):
+        want = network.events
+        for column in {"route_id", "anomaly_type"} & set(given):
+            want = want.where(F.col(column) == given[column])
+        want = want.orderBy(F.desc("timestamp"), "route_id", "stop_id", "vehicle_id").limit(given.get("limit", 100))
+        newest = serving.anomalies(events, **given)
+        assert [tuple(r) for r in newest.collect()] == [tuple(r) for r in want.select(newest.columns).collect()]
+        assert [tuple(r) for r in serving.anomalies(network.events, **given).collect()] == [tuple(r) for r in newest.collect()]
+    plan = serving.anomalies(events, limit=5)._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "event_date" in filters and "subquery" in filters.lower()
+
+
+def test_stored_answers(spark, tmp_path):
+    path = tmp_path / "answers.json"
+    assert tables.read_answers(spark, str(path)).collect() == []
+    path.write_text('{"question": "a", "answer": "1", "more": 2}\nno json\n{"question": "b"}\n{"question": "c", "answer": "3"}\n')
+    assert rows(tables.read_answers(spark, str(path))) == [("a", "1"), ("c", "3")]
+
+
+def test_reports_are_stored_looked_up_and_reconciled(spark, network, ping_dir, output_dir):
+    path = job.write_reports(spark, ping_dir, output_dir)
+    stored = tables.read_answers(spark, path)
+    assert stored.count() == 2 + serving.on_latest_date(network.routes).count()
+    found = reports.answer_lookup(network.questions, stored)
+    assert found.where("answer IS NULL").count() == 0
+    assert rows(found) == rows(reports.answer_lookup(network.questions, network.answers))
+    checked = job.reconcile(spark, output_dir)
+    assert checked.where("not passed").count() == 0 and checked.count() >= 5 + 2 + 8
+
+
+def test_checks_of_published_tables(spark, output_dir):
+    found = {r.check: r.passed for r in job.check(spark, output_dir).collect()}
+    # Too few trips for cards at this scale.
+    assert len(found) == 10 and found["distinct_dates"] and not found["median_headway_min"] and not found["decision_cards"]
 
 
 def test_answers_as_json(spark, network, tmp_path):
@@ -117,13 +219,6 @@ def test_answers_as_json(spark, network, tmp_path):
     assert rows(back) == rows(answers)
 
 
-def test_scratch_lies_in_the_shared_folder(spark, tmp_path):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    path = job.scratch_dir(spark, str(tmp_path))
-    assert path.startswith(named if named else str(tmp_path))
-    assert path == job.scratch_dir(spark, f"{tmp_path}/") != job.scratch_dir(spark, f"{tmp_path}/other")
-
-
 def test_pings_of_other_types_are_cast(spark, network, tmp_path):
     wide = network.pings.withColumns(
         {"stop_sequence": F.col("stop_sequence").cast("bigint"), "dwell_sec": F.col("dwell_sec").cast("int")}
@@ -137,7 +232,6 @@ def test_daily_metrics_scan_only_what_they_need(spark, ping_dir):
     plan = metrics.segments_from_pings(pings)._jdf.queryExecution().executedPlan().toString()
     read = plan.split("ReadSchema: struct<")[1].split(">")[0]
     assert not any(c in read for c in ("latitude", "longitude", "trip_id"))
-    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_command_line(ping_dir, tmp_path):
@@ -151,6 +245,11 @@ def test_command_line(ping_dir, tmp_path):
     assert set(json.loads((tmp_path / "t.json").read_text())) >= {"load", "save"}
     assert run("--input", str(tmp_path / "none"), "--output", str(tmp_path / "o")).returncode == 1
     assert run("--input", ping_dir, "--output", str(tmp_path / "p")).returncode == 2
+    assert run("report", "--input", ping_dir, "--output", str(tmp_path / "o")).returncode == 0
+    assert run("reconcile", "--output", str(tmp_path / "o")).returncode == 0
+    failed = run("check", "--output", str(tmp_path / "o"))
+    assert failed.returncode == 2 and "median_headway_min" in failed.stderr
+    assert run("load", "--output", str(tmp_path / "p"), "--database", "default").returncode == 1
 
 
 def test_anomalies_need_no_shuffle(network, spark, tmp_path):

@@ -15,6 +15,7 @@ from headwise import DEFAULTS, schema
 from headwise.operators import metrics, quality, quantiles, schedule
 from headwise.plans import decisions, reports, serving
 from headwise.sources import pings as ping_source
+from headwise.sources import tables
 from test_rules import segment
 
 
@@ -124,11 +125,28 @@ def test_reports_reconcile_and_a_wrong_number_does_not(spark):
     assert len(checked) == 5 + 2 * 10 + 8
     assert all(r.passed for r in checked)
 
-    first = checked[0]
+    first = next(r for r in checked if r.metric == "reliability_score")
     text = f"**{first.key}** (Score: **{first.actual + 0.6:.1f}**) and **RT-999** (Score: **1.0**)"
     forged = spark.createDataFrame([("q", text)], "question string, answer string")
-    assert {r.key: r.passed for r in reports.reconcile(forged, scores, segments).collect()} == {
-        first.key: False, "RT-999": False}
+    found = reports.reconcile(forged, scores, segments).collect()
+    assert not any(r.passed for r in found)
+    assert {r.key for r in found if r.reported is not None} == {first.key, "RT-999"}
+    # The five scores (one of them reported) and both day types are expected, whatever is stored.
+    assert len([r for r in found if r.key != "RT-999"]) == 5 + 8
+
+
+def test_an_answer_without_its_numbers_does_not_pass(spark):
+    segments, scores = network(spark, 7)
+    pings = frame(spark, [ping(0, route=f"RT-{r:03d}") for r in range(10)])
+    answers = reports.answers(scores, segments, pings)
+    asked = F.col("question") == "why did rt-003 degrade this week"
+    stripped = answers.withColumn("answer", F.when(asked, F.regexp_replace("answer", r"\d", "")).otherwise(F.col("answer")))
+    missing = [(r.key, r.metric) for r in reports.reconcile(stripped, scores, segments).collect() if not r.passed]
+    assert sorted(missing) == [("RT-003", "abs_wow_trend"), ("RT-003", "wow_trend")]
+    # Without the stored question nobody expects its answer; the general ones are always expected.
+    assert all(r.passed for r in reports.reconcile(answers.where(~asked), scores, segments).collect())
+    none = reports.reconcile(answers.limit(0), scores, segments).collect()
+    assert len(none) == 5 + 8 and not any(r.passed for r in none)
 
 
 def test_extraction_finds_every_score(spark):
@@ -245,7 +263,7 @@ def test_limits_are_checked(spark):
 def test_unknown_route_gives_no_rows(spark):
     segments, scores = network(spark, 11)
     assert serving.route_timeline(scores, "RT-999").count() == 0
-    assert serving.route_latest(scores, "RT-999").count() == 0
+    assert [tuple(r) for r in serving.route_latest(scores, "RT-999").collect()] == [("RT-999", None, "No data for route RT-999.")]
     assert reports.route_change(scores, segments, "RT-999").count() == 0
 
 
@@ -269,9 +287,27 @@ def test_texts_for_missing_data(spark):
     assert len(worst) == 4 and worst[1].startswith("1. Route RT-")
 
 
-def test_nan_becomes_null(spark):
-    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c")], "x double, y string")
-    assert [r.x for r in serving.nan_to_null(df).orderBy("y").collect()] == [1.0, None, None]
+def test_foreign_tables_get_our_schema(spark, tmp_path):
+    df = spark.createDataFrame([("R", 1.5, 3, 9), ("S", float("nan"), None, 9)], "route_id string, wow_trend double, gap_count int, more int")
+    df.write.parquet(str(tmp_path / "t"))
+    read = tables.read_foreign(spark, str(tmp_path / "t"), tables.ROUTE_SCORES)
+    assert read.schema == schema.ROUTES
+    assert [(r.route_id, r.wow_trend, r.gap_count, r.date) for r in read.orderBy("route_id").collect()] == [("R", 1.5, 3, None), ("S", None, None, None)]
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    frame(spark, [ping(i) for i in range(30)]).write.partitionBy("date").parquet(str(tmp_path / "p"))
+    counted = ping_source.for_counting(spark, str(tmp_path / "p"))
+    n = counted.agg(F.count(F.lit(1)).alias("n"))
+    assert n.first().n == 30
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert counted.where("stop_id = 'S1'").count() == 30  # a scan, where footers don't tell
+    _, scores = network(spark, 3)
+    stats = serving.network_stats(counted, scores)
+    assert "PushedAggregation: [COUNT(*)]" in stats._jdf.queryExecution().executedPlan().toString() and stats.first().total_pings == 30
+    later = spark.read.parquet(str(tmp_path / "p"))
+    assert "BatchScan" not in later._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stop_spacing(spark):
