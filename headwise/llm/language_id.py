@@ -79,6 +79,12 @@ def _table(counts: DataFrame, key: str, languages: list[str], most: int) -> dict
     return {name: np.log(row) - np.log(totals) for name, row in table.items()}
 
 
+def _grams(word: str, order: int) -> Column:
+    """All runs of `order` characters of a word; of a shorter one, itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - order + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substr(word, i, F.lit(order)))
+
+
 def train(documents: DataFrame) -> Model:
     """Fit on about TRAIN_DOCUMENTS of the given documents that have text and lang."""
     storage.small_batches(documents.sparkSession)
@@ -96,9 +102,8 @@ def train(documents: DataFrame) -> Model:
     padded = words.select(F.concat(F.lit("<"), "word", F.lit(">")).alias("word"), "lang", "n")
     grams: dict[str, np.ndarray] = {}
     for order in range(1, ORDER + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.length("word") - order + 1, F.lit(1)))
         counts = (
-            padded.select("lang", "n", F.explode(F.transform(starts, lambda i, k=order: F.substr("word", i, F.lit(k)))).alias("gram"))
+            padded.select("lang", "n", F.explode(_grams("word", order)).alias("gram"))
             .groupBy("gram", "lang")
             .agg(F.sum("n").alias("n"))
         )
