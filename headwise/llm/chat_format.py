@@ -41,7 +41,8 @@ def _cut(rows: DataFrame) -> DataFrame:
     long = rows.groupBy("conv_id", "part").count().where(F.col("count") > PART_ROWS)
     if long.isEmpty():
         return rows.withColumn("piece", F.lit(0).cast("long"))
-    slot = F.xxhash64("speaker", F.coalesce("text", F.lit("")))
+    content = F.concat(F.coalesce("speaker", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    slot = F.conv(F.substring(F.md5(content.cast("binary")), 1, 13), 16, 10).cast("long")  # 52 bits, as in the SQL
     of_long = rows.alias("r").join(long.alias("l"), _same("r", "l", ["conv_id", "part"]), "left_semi")
     counted = of_long.select("conv_id", "part", "turn", slot.alias("slot")).distinct().groupBy("conv_id", "part", "turn").agg(
         F.count(F.lit(1)).alias("n")
@@ -116,24 +117,38 @@ def _header(speaker: Column, perspective: Column) -> Column:
     )
 
 
-ORACLE = f"""
+def _oracle(part_rows: int) -> str:
+    return f"""
 WITH rows_ AS (
-  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text, CAST(floor(turn / {PART_TURNS}.0) AS BIGINT) AS part
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text, CAST(floor(turn / {PART_TURNS}.0) AS BIGINT) AS part,
+    CAST('0x' || substr(md5(coalesce(role, '') || chr(10) || coalesce(text, '')), 1, 13) AS BIGINT) AS slot
   FROM conversations),
+turns AS (SELECT conv_id, part, turn, count(DISTINCT slot) AS n FROM rows_ GROUP BY ALL),
+cuts AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id, part) AS "all",
+    sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST) - n AS before
+  FROM turns),
+dealt AS (
+  SELECT r.*, CASE WHEN "all" > {part_rows} THEN CAST(floor((before + slot % n) / {float(part_rows)}) AS BIGINT) ELSE 0 END AS piece
+  FROM rows_ r JOIN cuts c ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.part = c.part AND r.turn = c.turn),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM rows_ WHERE role <> '{SYSTEM}'),
 pieces AS (
-  SELECT r.conv_id, part, perspective, turn, role, text,
+  SELECT r.conv_id, part, piece, perspective, turn, role, text,
     CASE WHEN role IS NULL THEN '<|user|>' WHEN role = '{SYSTEM}' THEN '<|{SYSTEM}|>'
          WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS header
-  FROM rows_ r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM dealt r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, header || text || '{END}' || chr(10) AS piece,
+  SELECT *, header || text || '{END}' || chr(10) AS told,
     sum(length(header || text || '{END}' || chr(10)))
-      OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role NULLS FIRST, text) AS stop
+      OVER (PARTITION BY conv_id, part, piece, perspective ORDER BY turn, role NULLS FIRST, text) AS stop
   FROM pieces)
-SELECT conv_id, part, perspective, count(*) AS n_turns,
-  string_agg(piece, '' ORDER BY turn, role NULLS FIRST, text) AS text,
-  coalesce(string_agg(CAST(stop - length(piece) + length(header) AS BIGINT) || '-' || CAST(stop - 1 AS BIGINT), ','
+SELECT conv_id, part, piece, perspective, count(*) AS n_turns,
+  string_agg(told, '' ORDER BY turn, role NULLS FIRST, text) AS text,
+  coalesce(string_agg(CAST(stop - length(told) + length(header) AS BIGINT) || '-' || CAST(stop - 1 AS BIGINT), ','
     ORDER BY turn, role NULLS FIRST, text) FILTER (WHERE role = perspective), '') AS mask
 FROM placed GROUP BY ALL
 """
+
+
+#: DuckDB SQL of the query, for tables whose turns all have numbers.
+ORACLE = _oracle(PART_ROWS)
