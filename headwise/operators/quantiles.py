@@ -2,8 +2,8 @@
 
 A rank is found digit by digit. A double has a place in the order of all doubles that is written here as four digits;
 counting values by their first digit proves in which of its values a wanted rank lies and how many values are below.
-The next pass counts the next digit among the values that share the digits found so far. After four passes one value is
-left for each rank. Every pass is a count with map-side combining over at most 2 ** BITS groups for each rank, whatever
+The next pass counts the next digit among the values that share the digits found so far. After four passes over the
+counted values one is left for each rank. Every pass is a count with map-side combining over at most 2 ** BITS groups for each rank, whatever
 the number or the distribution of the values; all ranks take part in the same passes.
 """
 
@@ -48,15 +48,16 @@ def percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> D
     """
     v = F.col("v")
     values = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
-    values = values.select(F.when(v == 0, 0.0).otherwise(v).alias("v"))
-    values = values.select("v", *[d.alias(name) for d, name in zip(_digits(v), DIGITS, strict=True)])
+    # Equal values are counted once; all passes then read this one shuffle.
+    values = values.groupBy(F.when(v == 0, 0.0).otherwise(v).alias("v")).agg(F.count(F.lit(1)).alias("copies"))
+    values = values.select("v", "copies", *[d.alias(name) for d, name in zip(_digits(v), DIGITS, strict=True)])
 
     def up_to(window: Window) -> Column:
         return F.sum("n").over(window.orderBy(digit).rowsBetween(Window.unboundedPreceding, 0))
 
     # The first digit: no more values than exponents, of all rows together.
     digit = DIGITS[0]
-    counted = values.groupBy(digit).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    counted = values.groupBy(digit).agg(F.sum("copies").alias("n"), F.min("v").alias("v"))
     counted = counted.withColumns({"upto": up_to(Window.partitionBy(F.lit(0))), "all": F.sum("n").over(Window.partitionBy(F.lit(0)))})
     wanted = []
     for i, p in enumerate(probabilities):
@@ -72,7 +73,7 @@ def percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> D
         known = DIGITS[:i]
         # A row for each wanted rank is broadcast.
         near = values.join(F.broadcast(state.drop("v")), known)
-        counted = near.groupBy("id", "weight", "rank", *known, digit).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        counted = near.groupBy("id", "weight", "rank", *known, digit).agg(F.sum("copies").alias("n"), F.min("v").alias("v"))
         counted = counted.withColumn("upto", up_to(Window.partitionBy("id")))
         found = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
         state = counted.where(found).select(
