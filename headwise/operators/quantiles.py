@@ -1,10 +1,9 @@
 """Exact interpolated percentiles by distributed selection.
 
-A rank is found digit by digit. A double has a place in the order of all doubles that is written here as four digits;
-counting values by their first digit proves in which of its values a wanted rank lies and how many values are below.
-The next pass counts the next digit among the values that share the digits found so far. After four passes over the
-counted values one is left for each rank. Every pass is a count with map-side combining over at most 2 ** BITS groups for each rank, whatever
-the number or the distribution of the values; all ranks take part in the same passes.
+Equal values are counted once. The counted values are sorted into range partitions, and one count over each partition
+proves in which of them a wanted rank lies and how many values are below; only these partitions are then looked into, by
+a task for each rank. The bounds of the ranges come from a sample, but no result depends on them: uneven ranges cost
+time, never exactness. All ranks take part in the same two reads of one shuffle.
 """
 
 from __future__ import annotations
@@ -14,71 +13,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 19
-DIGITS = ["d0", "d1", "d2", "d3"]
-_INFINITE, _BIAS = 4000, 2000
-
-
-def _digits(v: Column) -> list[Column]:
-    """Four integers that are ordered, one after another, as doubles are, and differ if these do."""
-    size = F.abs(v)
-    # Below 2 ** -900 values are scaled up first, so that no power of two is beyond a double.
-    tiny = size < 2.0**-900
-    scaled = F.when(tiny, size * F.lit(2.0**200)).otherwise(size)
-    # Rounding may give the exponent beside; it still never falls as values grow, and the scaled value below is exact.
-    exponent = F.floor(F.log2(scaled))
-    mantissa = (scaled * F.pow(F.lit(2.0), -exponent) * F.lit(2.0**53)).cast("long")
-    sign = F.when(v < 0, -1).otherwise(1).cast("long")
-    finite = (size > 0) & (size < float("inf"))
-    first = F.when(size == 0, 0).when(~finite, _INFINITE).otherwise(exponent - F.when(tiny, 200).otherwise(0) + _BIAS)
-    rest = F.when(finite, sign * mantissa).otherwise(0) + F.lit(1 << 56)
-    mask = F.lit((1 << BITS) - 1)
-    return [
-        (sign * first).cast("int"),
-        F.shiftright(rest, 2 * BITS).cast("int"),
-        F.shiftright(rest, BITS).bitwiseAND(mask).cast("int"),
-        rest.bitwiseAND(mask).cast("int"),
-    ]
-
-
-def percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
+#: Times the counted values are read, whatever the number of ranks.
+READS = 2
+
+
+def percentiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], partitions: int | None = None
+) -> DataFrame:
     """A row (probability, value) for each probability: the value at rank (n - 1) * probability.
 
     Between two ranks it is interpolated. Nulls and NaN are no values; without any value all results are null.
     """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = F.col("v")
     values = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
-    # Equal values are counted once; all passes then read this one shuffle.
     values = values.groupBy(F.when(v == 0, 0.0).otherwise(v).alias("v")).agg(F.count(F.lit(1)).alias("copies"))
-    values = values.select("v", "copies", *[d.alias(name) for d, name in zip(_digits(v), DIGITS, strict=True)])
-
-    def up_to(window: Window) -> Column:
-        return F.sum("n").over(window.orderBy(digit).rowsBetween(Window.unboundedPreceding, 0))
-
-    # The first digit: no more values than exponents, of all rows together.
-    digit = DIGITS[0]
-    counted = values.groupBy(digit).agg(F.sum("copies").alias("n"), F.min("v").alias("v"))
-    counted = counted.withColumns({"upto": up_to(Window.partitionBy(F.lit(0))), "all": F.sum("n").over(Window.partitionBy(F.lit(0)))})
+    # As many partitions as asked for, so that both readers of the shuffle number them alike.
+    ranged = values.repartitionByRange(partitions, "v")
+    part = F.spark_partition_id().alias("part")
+
+    # A row for each partition.
+    counted = ranged.groupBy(part).agg(F.sum("copies").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    upto = F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.lag("high").over(Window.orderBy("low"))
+    counted = counted.select("*", upto.alias("upto"), before.alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
     wanted = []
     for i, p in enumerate(probabilities):
         exact = (F.col("all") - 1) * F.lit(float(p))
         for k, rank in enumerate((F.floor(exact), F.ceil(exact))):
             wanted.append(F.struct(F.lit(2 * i + k).alias("id"), rank.alias("rank"), (exact - F.floor(exact)).alias("weight")))
-    here = F.filter(F.array(*wanted), lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n")))
     below = F.col("upto") - F.col("n")
-    state = counted.select(digit, "v", below.alias("below"), F.explode(here).alias("w")).select(
-        digit, "v", "w.id", "w.weight", (F.col("w.rank") - F.col("below")).alias("rank")
+    here = F.filter(F.array(*wanted), lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= below))
+    apart = F.col("before").isNull() | (F.col("before") < F.col("low"))
+    state = counted.select("part", "n", "low", "high", apart.alias("apart"), below.alias("below"), F.explode(here).alias("w"))
+    state = state.select("part", "n", "low", "high", "apart", "w.id", "w.weight", (F.col("w.rank") - F.col("below")).alias("rank"))
+
+    # A row for each wanted rank is broadcast.
+    near = ranged.select("v", "copies", part).join(F.broadcast(state), "part")
+    near = near.withColumn(
+        "upto", F.sum("copies").over(Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     )
-    for i, digit in enumerate(DIGITS[1:], 1):
-        known = DIGITS[:i]
-        # A row for each wanted rank is broadcast.
-        near = values.join(F.broadcast(state.drop("v")), known)
-        counted = near.groupBy("id", "weight", "rank", *known, digit).agg(F.sum("copies").alias("n"), F.min("v").alias("v"))
-        counted = counted.withColumn("upto", up_to(Window.partitionBy("id")))
-        found = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-        state = counted.where(found).select(
-            *known, digit, "v", "id", "weight", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")
-        )
+    at_rank = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("copies"))
+    picked = near.groupBy("id", "weight", "n", "low", "high", "apart").agg(
+        F.max(F.when(at_rank, v)).alias("v"),
+        F.sum("copies").alias("found"), F.min("v").alias("least"), F.max("v").alias("most"),
+    )
+    # What was counted is what was looked into, and ranges don't overlap.
+    proved = F.col("apart") & (F.col("found") == F.col("n")) & (F.col("least") == F.col("low")) & (F.col("most") == F.col("high"))
+    fail = F.raise_error(F.lit("the values were shuffled twice with other bounds; no rank is proved"))
+    picked = picked.select("id", "weight", F.when(proved, v).otherwise(fail).alias("v"))
 
     def at(i: int, name: str) -> Column:
         return F.max(F.when(F.col("id") == i, F.col(name)))
@@ -88,7 +71,7 @@ def percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> D
         low, high = at(2 * i, "v"), at(2 * i + 1, "v")
         value = F.when(low == high, low).otherwise(low + (high - low) * at(2 * i, "weight"))
         rows.append(F.struct(F.lit(float(p)).alias("probability"), value.alias("value")))
-    return state.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return picked.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def percentile(df: DataFrame, column: str, probability: float) -> DataFrame:

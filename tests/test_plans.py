@@ -209,7 +209,16 @@ def test_quartiles_share_their_passes(spark):
     got = [tuple(r) for r in quantiles.percentiles(df, "x", [0.25, 0.5, 0.75]).collect()]
     assert got == [(0.25, 49_999.75), (0.5, 99_999.5), (0.75, 149_999.25)]
     plan = quantiles.percentiles(df, "x", [0.25, 0.5, 0.75])._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Range (0, 200000") == len(quantiles.DIGITS)
+    assert plan.count("Range (0, 200000") == quantiles.READS
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_percentiles_do_not_depend_on_the_ranges(spark, partitions):
+    values = [0.0] * 900 + [-0.0] * 100 + [float(i % 40) for i in range(2000)] + [1e6 + i for i in range(11)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(6)
+    probabilities = [0.0, 0.1, 0.33, 0.5, 0.9, 0.999, 1.0]
+    got = [r.value for r in quantiles.percentiles(df, "x", probabilities, partitions).collect()]
+    assert got == pytest.approx([np.percentile(values, 100 * p) for p in probabilities], abs=1e-9)
 
 
 def test_quality_checks(spark):
