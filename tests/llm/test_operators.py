@@ -281,6 +281,32 @@ def test_lines_and_empty_tables(spark):
     assert line_dedup.remove_runs(table(spark, texts).limit(0)).count() == 0
 
 
+def plain_runs(texts, min_lines, min_chars):
+    """Lines of each text that lie in no run which counts and occurred before."""
+    seen, gone = set(), [set() for _ in texts]
+    split = [[] if t is None else t.split("\n") for t in texts]
+    for d, own in enumerate(split):
+        for s in range(len(own)):
+            for end in range(s + 1, len(own) + 1):
+                run = tuple(own[s:end])
+                if len(run) >= min_lines or sum(map(len, run)) >= min_chars:
+                    if run in seen:
+                        gone[d] |= set(range(s, end))
+                    seen.add(run)
+    return [None if t is None else "\n".join(x for i, x in enumerate(own) if i not in gone[d]) for d, (t, own) in enumerate(zip(texts, split, strict=True))]
+
+
+@pytest.mark.parametrize(("min_lines", "min_chars"), [(3, 30), (1, 30), (2, 9), (4, 12), (3, 1000)])
+def test_runs_go_as_in_plain_python(spark, min_lines, min_chars):
+    """Runs of every length, against all runs of all texts; most lines are common."""
+    rnd = random.Random(min_lines)
+    kinds = ["", "", "a", "bb", "licence", "ünï cödé", "a line of more than thirty characters", "another one that is as long as that"]
+    texts = ["\n".join(rnd.choice(kinds) + rnd.choice(["", "", str(rnd.randrange(99))]) for _ in range(rnd.randrange(1, 12))) for _ in range(60)]
+    texts += [None, "", kinds[-1], kinds[-1], "licence\n" * 5]
+    got = {r.doc_id: r.text for r in line_dedup.remove_runs(table(spark, texts), min_lines, min_chars).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_runs(texts, min_lines, min_chars)
+
+
 def test_mix_stays_below_twice_and_repeats(spark):
     df = table(spark, sample_texts(4, 20), source=F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("s"), F.col("doc_id") % 3)))
     first, again = (sorted(map(tuple, source_mix.mix(df).select("doc_id", "copies", "target").collect())) for _ in range(2))
