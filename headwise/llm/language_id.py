@@ -16,13 +16,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwise.llm import storage, training
 
-#: Bounds of the model: labelled documents, words, n-grams of each order.
+#: Bounds of the model: labelled documents, words, n-grams of each order; all are shared out evenly among languages.
 TRAIN_DOCUMENTS, WORDS, GRAMS, ORDER = 20_000, 50_000, 20_000, 5
+#: Words, and n-grams of each order, that a language may have at least, however many languages there are.
+LEAST = 1000
 #: Added to each count of a language.
 SMOOTHING = 0.5
 #: Words looked up before are kept up to this number.
@@ -66,13 +68,19 @@ class Model:
 
 
 def _table(counts: DataFrame, key: str, languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """Log frequency by language of the `most` commonest keys; (key, lang, n) has at least two of each."""
-    top = counts.groupBy(key).agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), key).limit(most)
-    found = counts.join(top, key).select(key, "lang", "n").collect()  # at most `most` keys in each language
+    """Log frequency by language of each language's commonest keys; (key, lang, n) has at least two of each key."""
+    share = max(most // len(languages), LEAST)
+    every = counts.groupBy(key).agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
+    each = every.where("all > 1").select(key, "by", F.inline("by"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+    # At most `share` keys of each language, the others' counts beside.
+    found = each.withColumn("rank", rank).where(F.col("rank") <= share).select(key, "by").dropDuplicates([key]).collect()
     at = {x: i for i, x in enumerate(languages)}
     table: dict[str, np.ndarray] = {}
-    for name, lang, n in found:
-        table.setdefault(name, np.full(len(languages), SMOOTHING))[at[lang]] += n
+    for name, by in sorted(found):
+        row = table[name] = np.full(len(languages), SMOOTHING)
+        for lang, n in by:
+            row[at[lang]] += n
     if not table:
         return {}
     totals = sum(table.values())
@@ -86,9 +94,11 @@ def _grams(word: str, order: int) -> Column:
 
 
 def train(documents: DataFrame) -> Model:
-    """Fit on about TRAIN_DOCUMENTS of the given documents that have text and lang."""
+    """Fit on about TRAIN_DOCUMENTS of the given documents that have text and lang, as many of each language."""
     storage.small_batches(documents.sparkSession)
-    labelled = training.sample(documents.where("text is not null and lang is not null and doc_id is not null"), TRAIN_DOCUMENTS)
+    labelled = training.sample_evenly(
+        documents.where("text is not null and lang is not null and doc_id is not null"), "lang", TRAIN_DOCUMENTS
+    )
     words = (
         labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{LONGEST}}})"), 1)).alias("word"))
         .groupBy("word", "lang")

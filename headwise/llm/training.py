@@ -19,6 +19,19 @@ def sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+def sample_evenly(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """About `most` of the rows at most, the same number of each value (all, if it has fewer), by hashes as in `sample`.
+
+    Values without null, few enough for a row of each on the driver.
+    """
+    counts = rows.groupBy(by).count().collect()
+    if not counts:
+        return rows
+    shares = [(F.lit(value), F.lit(int(min(1.0, most / len(counts) / n) * (1 << 20)))) for value, n in counts]
+    limit = F.create_map(*[x for pair in shares for x in pair])[F.col(by)]
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit)
+
+
 class Memo:
     """Values of tokens, computed for many at once and remembered; what was used lately survives when room runs out."""
 

@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from headwise.llm import chat_format, language_id, quality_rules, source_mix, toxicity
+from headwise.llm import chat_format, language_id, quality_rules, source_mix, toxicity, training
 
 
 def test_a_hot_conversation_equals_its_sql(spark, monkeypatch):
@@ -184,3 +184,22 @@ def test_a_mix_comes_near_its_targets(spark):
         assert abs(r.taken - r.target) < 0.05 * r.target and r.target <= 2 * r["size"] + 1e-6
     total = mixed.agg(F.sum(F.col("size") * F.col("copies")), F.sum("size")).first()
     assert math.isclose(total[0], 1.5 * total[1], rel_tol=0.03)
+
+
+def test_a_rare_language_keeps_its_words(spark, monkeypatch):
+    """A language with one document in a hundred has words and n-grams of its own beside one that has all the rest."""
+    monkeypatch.setattr(language_id, "WORDS", 20)
+    monkeypatch.setattr(language_id, "GRAMS", 20)
+    monkeypatch.setattr(language_id, "LEAST", 10)
+    monkeypatch.setattr(language_id, "TRAIN_DOCUMENTS", 60)
+    rnd = random.Random(3)
+    common = ["".join(rnd.choice("abcde") for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choices(common, k=30)), "many") for i in range(400)]
+    rows += [(1000 + i, "xyzzy plugh xyzzy plugh", "few") for i in range(4)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert documents.count() > 2 * training.sample_evenly(documents, "lang", 60).count()
+    assert training.sample_evenly(documents, "lang", 60).where("lang = 'few'").count() == 4
+    model = language_id.train(documents)
+    assert {"xyzzy", "plugh"} <= set(model.words) and len(model.words) <= 20
+    asked = spark.createDataFrame([("plugh xyzzy",), (rows[0][1],)], "text string")
+    assert [r.p.lang_pred for r in asked.select(language_id.predict(F.col("text"), model).alias("p")).collect()] == ["few", "many"]
