@@ -25,8 +25,10 @@ def _arguments(given: list[str]) -> argparse.Namespace:
     commands = parser.add_subparsers(dest="command", required=True)
     every = {name: commands.add_parser(name) for name in ("run", "check", "report", "reconcile", "load")}
     for name, command in every.items():
-        if name in ("run", "report"):
+        if name == "run":
             command.add_argument("--input", required=True, help="directory of pings")
+        if name == "report":
+            command.add_argument("--input", help="directory of pings, for schedules over all of them")
         command.add_argument("--output", required=True, help="directory of the tables")
     every["run"].add_argument("--timing-file", help="write stage seconds to this JSON file")
     every["run"].add_argument("--publish-failed", action="store_true", help="publish even if checks fail")

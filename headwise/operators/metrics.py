@@ -11,7 +11,10 @@ from headwise.operators import headway
 
 
 def segment_metrics(flagged: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> DataFrame:
-    """One row per (route, stop, date). Pings filed under no date have no group."""
+    """One row per (route, stop, date). Pings filed under no date have no group.
+
+    Besides the published columns, the schedule that the headways were judged by, as a sum and a count.
+    """
     trips = F.col("total_trips")
     return (
         flagged.where(F.col("date").isNotNull())
@@ -24,6 +27,8 @@ def segment_metrics(flagged: DataFrame, cfg: ReliabilityConfig = DEFAULTS) -> Da
             F.count_if("is_gap").alias("gap_count"),
             F.avg("dwell_sec").alias("mean_dwell_sec"),
             F.max("route_base_boardings").alias("route_base_boardings"),
+            F.sum("scheduled_headway_min").alias("scheduled_min_sum"),
+            F.count("scheduled_headway_min").alias("scheduled_trips"),
         )
         .withColumns(
             {

@@ -91,10 +91,16 @@ def published(spark: SparkSession, output_dir: str) -> tuple[DataFrame, DataFram
     return tuple(tables._read(spark, paths[name], name) for name in (tables.ROUTE_SCORES, tables.SEGMENT_METRICS))
 
 
-def write_reports(spark: SparkSession, input_dir: str, output_dir: str, cfg: ReliabilityConfig = DEFAULTS) -> str:
-    """Answers to the report questions, from the published tables, as JSON next to them; returns their path."""
+def write_reports(
+    spark: SparkSession, input_dir: str | None, output_dir: str, cfg: ReliabilityConfig = DEFAULTS
+) -> str:
+    """Answers to the report questions, from the published tables, as JSON next to them; returns their path.
+
+    With an input directory, the schedules told are means over all its pings instead of those the tables keep.
+    """
     routes, segments = published(spark, output_dir)
-    answers = reports.answers(routes, segments, ping_source.read_pings(spark, input_dir), cfg=cfg)
+    pings = None if input_dir is None else ping_source.read_pings(spark, input_dir)
+    answers = reports.answers(routes, segments, pings, cfg=cfg)
     path = f"{output_dir.rstrip('/')}/{tables.ANSWERS}"
     tables.write_json(answers, path)
     return path

@@ -27,8 +27,11 @@ DAY_TYPE_METRICS = ("avg_score", "bunching_pct", "gap_pct", "avg_dwell")
 TOLERANCE = 0.5
 
 
-def fix_first(routes: DataFrame, segments: DataFrame, pings: DataFrame, n: int = 5) -> DataFrame:
-    """The n worst routes of the latest date with each one's worst stop over all days and what drives it."""
+def fix_first(routes: DataFrame, segments: DataFrame, pings: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """The n worst routes of the latest date with each one's worst stop over all days and what drives it.
+
+    The schedule comes from the pings if they are given, else from the sums that segment metrics keep.
+    """
     order = [scoring.rank_key(F.col("reliability_score")), F.col("route_id")]
     worst = (
         serving.on_latest_date(routes)
@@ -43,7 +46,7 @@ def fix_first(routes: DataFrame, segments: DataFrame, pings: DataFrame, n: int =
         )
     )
     stops = metrics.worst_stop_per_route(segments)
-    schedule = serving.route_schedule(pings)
+    schedule = serving.route_schedule(segments if pings is None else pings)
     bunched = F.col("bunching_pct") > F.col("gap_pct")
     rate = text.fixed(F.greatest("bunching_pct", "gap_pct"), 1)
     # n rows, so they are the broadcast side of both joins.
@@ -172,11 +175,14 @@ def day_type_answer(report: DataFrame) -> DataFrame:
 def answers(
     routes: DataFrame,
     segments: DataFrame,
-    pings: DataFrame,
+    pings: DataFrame | None = None,
     route_id: str | None = None,
     cfg: ReliabilityConfig = DEFAULTS,
 ) -> DataFrame:
-    """All report answers as (question, answer), with the change answer for one route or for every route."""
+    """All report answers as (question, answer), with the change answer for one route or for every route.
+
+    Everything comes from the two tables; the schedule from the pings if they are given (see `fix_first`).
+    """
     return (
         fix_first_answer(fix_first(routes, segments, pings))
         .unionByName(route_change_answer(route_change(routes, segments, route_id, cfg)))

@@ -44,6 +44,9 @@ ANOMALIES = _schema(
     "anomaly_type STRING, timestamp_str STRING"
 )
 
+#: Stored beside the published columns of a stop's day: sums that give the mean schedule of any group of stop days.
+SCHEDULE = _schema("scheduled_min_sum DOUBLE, scheduled_trips BIGINT")
+
 #: The partition column of the published events.
 EVENT_DATE = "event_date"
 

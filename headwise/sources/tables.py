@@ -26,19 +26,25 @@ ANSWERS = "answers"
 QUALITY_CHECKS = "quality_checks"
 #: Large, and mostly read for their latest dates. Events have no date column, so they get one of their own.
 PARTITIONS = {SEGMENT_METRICS: "date", ANOMALY_EVENTS: schema.EVENT_DATE}
+#: Columns that are stored and that views and the catalog don't show.
+STORED_ONLY = {SEGMENT_METRICS: schema.SCHEDULE.fields, ANOMALY_EVENTS: [schema.string(schema.EVENT_DATE)]}
 
 log = logging.getLogger(__name__)
 
 
+def _stored(table: str) -> T.StructType:
+    return T.StructType([*OUTPUT_TABLES[table].fields, *STORED_ONLY.get(table, [])])
+
+
 def write_table(df: DataFrame, path: str, table: str) -> DataFrame:
     """Write one table in its layout and read it back.
 
     Rebalancing gives files of a sensible size and lets adaptive execution split a heavy date over several.
     """
-    df = df.select(OUTPUT_TABLES[table].names)
     partition = PARTITIONS.get(table)
     if table == ANOMALY_EVENTS:
         df = df.withColumn(partition, clock.date_string(F.col("timestamp")))
+    df = df.select(_stored(table).names)
     if partition:
         df.hint("rebalance", F.col(partition)).write.partitionBy(partition).parquet(path)
     else:
@@ -47,10 +53,7 @@ def write_table(df: DataFrame, path: str, table: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    kinds = OUTPUT_TABLES[table]
-    partition = PARTITIONS.get(table)
-    if partition and partition not in kinds.names:
-        kinds = type(kinds)([*kinds.fields, schema.string(partition)])
+    kinds = _stored(table)
     return spark.read.schema(kinds).parquet(path).select(kinds.names)
 
 
@@ -60,7 +63,7 @@ def read_table(spark: SparkSession, output_dir: str, table: str) -> DataFrame |
     if path is None:
         log.warning("no table %s published in %s, skipped", table, output_dir)
         return None
-    return _read(spark, path, table)
+    return _read(spark, path, table).drop(*schema.SCHEDULE.names)
 
 
 def register_views(spark: SparkSession, output_dir: str) -> list[str]:

@@ -206,6 +206,15 @@ def test_reports_are_stored_looked_up_and_reconciled(spark, network, ping_dir, o
     assert checked.where("not passed").count() == 0 and checked.count() >= 5 + 2 + 8
 
 
+def test_reports_need_no_pings(spark, ping_dir, output_dir):
+    with_pings = rows(tables.read_answers(spark, job.write_reports(spark, ping_dir, output_dir)))
+    assert rows(tables.read_answers(spark, job.write_reports(spark, None, output_dir))) == with_pings
+    routes, segments = job.published(spark, output_dir)
+    plan = reports.answers(routes, segments)._jdf.queryExecution().executedPlan().toString()
+    assert "scheduled_min_sum" in plan and ping_dir not in plan
+    assert tables.read_table(spark, output_dir, tables.SEGMENT_METRICS).columns == schema.SEGMENTS.names
+
+
 def test_checks_of_published_tables(spark, output_dir):
     found = {r.check: r.passed for r in job.check(spark, output_dir).collect()}
     # Too few trips for cards at this scale.

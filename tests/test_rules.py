@@ -13,6 +13,7 @@ from frames import T0, frame, ping
 from headwise import DEFAULTS, schema
 from headwise.functions import clock, scoring, text
 from headwise.operators import headway, metrics, probes
+from headwise.plans import serving
 from headwise.sources import pings as ping_source
 
 
@@ -76,6 +77,20 @@ def test_missing_schedule_sets_no_flag(spark):
     assert [(r.is_bunching, r.is_gap) for r in flagged] == [(False, False)]
 
 
+def test_schedule_from_segment_metrics(spark):
+    rows = [ping(0, "A", scheduled_headway_sec=6000), ping(5, "B", scheduled_headway_sec=600)]
+    rows += [ping(60 * 24, "C", scheduled_headway_sec=1200), ping(60 * 24 + 1, "D", scheduled_headway_sec=None)]
+    rows += [ping(0, "A", stop="S2"), ping(9, "B", stop="S2", scheduled_headway_sec=1800)]
+    rows += [ping(0, "A", route="R2"), ping(0, "A", route="R3"), ping(1, "B", route="R3", scheduled_headway_sec=None)]
+    segments = metrics.segments_from_pings(frame(spark, rows))
+    kept = {r.route_id: r.scheduled_min for r in serving.route_schedule(segments).collect()}
+    # R1: 10, 20 and 30 minutes; the first ping of a stop has no headway. R3 has a headway, but no schedule.
+    assert kept == {"R1": 20.0, "R3": None}
+    assert serving.route_schedule(segments.limit(0)).collect() == []
+    every = {r.route_id: r.scheduled_min for r in serving.route_schedule(frame(spark, rows)).collect()}
+    assert every == {"R1": 34.0, "R2": 10.0, "R3": 10.0}
+
+
 def test_rows_without_a_key_are_dropped(spark):
     raw = frame(spark, [ping(0, "A"), ping(1, "B", stop=None), ping(2, "B", route=None), ping(3, "C", timestamp=None), ping(5, "B")])
     pings = ping_source.normalize_pings(raw)
