@@ -8,7 +8,7 @@ reaches; equal ones are joined, and the lines of all but the first occurrence ar
 smallest ones, so they go as a whole.
 
 Counting and the choice of the first occurrence combine map-side. In the two joins that lead back to the positions,
-groups with more than one in `HOT` of all rows, fewer than `HOT` by that, are broadcast and their rows dealt evenly.
+hot groups are broadcast and their rows dealt evenly (see `groups`).
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwise.llm import storage
+from headwise.llm.groups import with_groups
 
 MIN_LINES = 3
 #: Characters (line feeds not counted) from which a run of fewer lines counts.
 MIN_CHARS = 30
-HOT = 1000
 
 
 def _reaches(min_lines: int) -> list[tuple[int, int]]:
@@ -50,17 +50,6 @@ def _extensions(min_lines: int, min_chars: int) -> Column:
     return F.array_compact(F.array(*runs))
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, key: str, place: list[str]) -> DataFrame:
-    """Rows that have a group, with it as `group`; groups have the key and their number of rows, n."""
-    held = F.struct(*[c for c in groups.columns if c != key])
-    hot = groups.where(F.col("n") * HOT > groups.agg(F.sum("n")).scalar()).select(key, held.alias("hot"))
-    even = F.coalesce(F.when(F.col("hot").isNotNull(), F.xxhash64(*place)), F.lit(0))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("dealt", even)
-    others = groups.select(key, held.alias("other"), F.lit(0).cast("long").alias("dealt"))
-    found = dealt.join(others, [key, "dealt"], "left").withColumn("group", F.coalesce("hot", "other"))
-    return found.where("group is not null").select(*rows.columns, "group")
-
-
 def remove_runs(documents: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents without the runs of lines that occurred before, if these have `min_lines` lines or `min_chars` characters.
 
@@ -91,13 +80,13 @@ def remove_runs(documents: DataFrame, min_lines: int = MIN_LINES, min_chars: int
     ends = F.min(F.struct("doc", "at")).alias("least"), F.max(F.struct("doc", "at")).alias("most")
     shared = selected.groupBy("print").agg(*ends, n).where("least < most").select("print", "n")
     extended = (
-        _with_groups(selected, shared, "print", ["doc", "at"])
+        with_groups(selected, shared, "print", ["doc", "at"])
         .select("doc", "print", F.explode(_extensions(min_lines, min_chars)).alias("run"))
         .select("doc", "run.s", "run.k", F.struct("print", "run.held", "run.k").alias("same"))
     )
     first = extended.groupBy("same").agg(F.min(F.struct("doc", "s")).alias("first"), F.max(F.struct("doc", "s")).alias("most"), n)
     first = first.where("first < most").drop("most")
-    later = _with_groups(extended, first, "same", ["doc", "s"]).where(F.struct("doc", "s") > F.col("group.first"))
+    later = with_groups(extended, first, "same", ["doc", "s"]).where(F.struct("doc", "s") > F.col("group.first"))
     gone = later.groupBy("doc").agg(F.collect_set(F.struct("s", "k")).alias("runs")).select(
         F.col("doc.doc_id").alias(doc), F.col("doc._text").alias(key),
         F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["s"] + r["k"] - 1)))).alias(lost),

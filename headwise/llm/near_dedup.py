@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwise.llm import hashing, storage
+from headwise.llm.groups import with_groups
 
 SHINGLE = 5
 #: Minwise tokens of a set, four bytes each.
@@ -115,11 +116,11 @@ def _child(node: Column) -> Column:
 
 
 def _spanning(nodes: DataFrame) -> DataFrame:
-    """Nodes with classes of several components: node, members."""
+    """Nodes with classes of several components, and their members: node, n."""
     counted = nodes.groupBy("node").agg(
-        F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
-    return counted.where("lo < hi").select("node", "members")
+    return counted.where("lo < hi").select("node", "n")
 
 
 def _nodes(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +132,8 @@ def _nodes(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame]:
     )
     small: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        level = storage.staged(level.join(_spanning(level), "node"), "nodes")
+        held = with_groups(level, _spanning(level), "node", ["class"])
+        level = storage.staged(held.select(*columns, F.col("group.n").alias("members")), "nodes")
         small.append(level.where(F.col("members") <= LEAF).select(columns))
         large = level.where(F.col("members") > LEAF).select("members", *columns)
         if depth == DEPTH or large.isEmpty():
@@ -170,7 +172,8 @@ def _block_pairs(large: DataFrame) -> DataFrame:
         F.max_by("component", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")
     )
     outside = F.ceil((F.col("n") - F.col("n_main")) / LEAF)
-    placed = large.join(main, "node").withColumns({"first": outside, "last": outside + F.ceil(F.col("n_main") / LEAF)})
+    placed = with_groups(large, main, "node", ["class"]).select("node", "class", "component", "group.*")
+    placed = placed.withColumns({"first": outside, "last": outside + F.ceil(F.col("n_main") / LEAF)})
     slot = F.xxhash64("class")
     block = F.when(F.col("component") == F.col("main"), F.col("first") + F.pmod(slot, F.col("last") - F.col("first")))
     placed = placed.withColumn("block", block.otherwise(F.pmod(slot, F.col("first"))))

@@ -106,7 +106,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A row for each cluster.
     sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
     total = found.agg(F.sum("distance").alias("inertia"))
-    return found.join(F.broadcast(sums.join(digests, "cluster")), "cluster").crossJoin(F.broadcast(total))
+    return found.join(F.broadcast(sums.join(digests, "cluster")), "cluster").withColumn("inertia", total.scalar())
 
 
 def token_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
