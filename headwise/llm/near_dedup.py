@@ -41,7 +41,8 @@ LEAF, PIVOTS = 64, 3
 UNLIKE = 5e-5
 #: Rows given to one call, and bytes of shingle sets that it remembers.
 TASK_ROWS, KNOWN = 512, 32 << 20
-
+#: Bits of the filter for each class whose text is fetched, and bits at most (32 MB); beyond, more other texts pass it.
+BITS, MOST_BITS = 16, 1 << 28
 
 
 def _trees(percent: int) -> int:
@@ -261,21 +262,36 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
 
 
+def _among(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows whose class is among the names, and few others: a broadcast bitmap of hashed names keeps most rows that
+    a join with the names would drop from being shuffled for it. Names has one column, class, without repeats."""
+    page = 1 << 15  # bits of one bitmap of Spark
+    pages = math.ceil(min(max(names.count() * BITS, 1), MOST_BITS) / page)
+    place = F.pmod(F.xxhash64("class"), F.lit(pages * page)) + 1
+    marked, bit = F.bitmap_bucket_number(place).alias("page"), F.bitmap_bit_position(place)
+    maps = names.groupBy(marked).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.col("bits").substr((bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("page", marked).join(F.broadcast(maps), "page")
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(rows.columns)
+
+
 def _links(nodes: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links found inside the nodes: left, right (components)."""
     rows = _dealt(nodes).join(classes.select("class", "tokens"), "class")
     candidates = storage.staged(
         rows.groupBy("task").applyInPandas(_candidates(percent), "node long, class long, component long, tokens binary"), "candidates"
     )
-    content = texts.join(candidates.select("class").distinct(), "class").dropDuplicates(["class"])
+    names = candidates.select("class").distinct()
+    content = _among(texts, names).join(names, "class").dropDuplicates(["class"])
     pairs = _dealt(candidates).join(content, "class")
     return pairs.groupBy("task").applyInPandas(_compare(percent), "left long, right long").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
     """Smallest name reachable from each end of a link: old, component. Labels spread to neighbours, then jump ahead."""
-    both = links.select(F.col("left").alias("old"), F.col("right").alias("other"))
-    both = storage.staged(both.unionByName(both.select(F.col("other").alias("old"), F.col("old").alias("other"))), "links")
+    # Not a union with the turned links, which would find all links twice.
+    ways = [F.struct(F.col(a).alias("old"), F.col(b).alias("other")) for a, b in (("left", "right"), ("right", "left"))]
+    both = storage.staged(links.select(F.inline(F.array(*ways))), "links")
     labels = storage.staged(both.groupBy("old").agg(F.least("old", F.min("other")).alias("component")), "labels")
     while True:
         heard = both.join(labels.select(F.col("old").alias("other"), "component"), "other").groupBy("old")

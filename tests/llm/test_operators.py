@@ -139,6 +139,48 @@ def test_near_duplicates_of_nothing_and_without_ids(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id == 3] == [(3, True)] * 2
 
 
+def test_near_duplicates_are_compared_once_and_only_their_texts_are_moved(spark, monkeypatch):
+    kept, compared = (spark.sparkContext.accumulator(0) for _ in range(2))
+    candidates, compare, among, passed = near_dedup._candidates, near_dedup._compare, near_dedup._among, []
+
+    def counted(make, total, of):
+        def made(percent):
+            inner = make(percent)
+
+            def call(rows: pd.DataFrame) -> pd.DataFrame:
+                out = inner(rows)
+                total.add(len(of(rows, out)))
+                return out
+
+            return call
+
+        return made
+
+    monkeypatch.setattr(near_dedup, "_candidates", counted(candidates, kept, lambda rows, out: out))
+    monkeypatch.setattr(near_dedup, "_compare", counted(compare, compared, lambda rows, out: rows))
+    monkeypatch.setattr(near_dedup, "_among", lambda rows, names: passed.append(found := among(rows, names)) or found)
+    rnd = random.Random(4)
+    alone = [" ".join(str(rnd.randrange(10**9)) for _ in range(30)) for _ in range(400)]
+    texts = sample_texts() + alone
+    got = near_dedup.components(table(spark, texts), percent=85)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == plain_components(list(enumerate(texts)), 85)
+    assert 0 < compared.value == kept.value
+    assert passed and all(found.count() < 150 for found in passed)
+
+
+def test_texts_among_names(spark, monkeypatch):
+    rows = spark.range(-3, 20_000).select(F.col("id").alias("class"), F.lit("x").alias("text"))
+    names = rows.where("class % 10 = 0").select("class")
+    for most, others in ((1 << 28, 2000), (1 << 15, 20_000)):  # enough bits, and a filter that is full at one page
+        monkeypatch.setattr(near_dedup, "MOST_BITS", most)
+        found = near_dedup._among(rows, names)
+        assert found.columns == ["class", "text"] and found.join(names, "class").count() == names.count()
+        assert found.count() == found.distinct().count() < names.count() + others
+    assert near_dedup._among(rows, names.limit(0)).count() == 0
+    unnamed = spark.createDataFrame([(None, "x"), (7, "y")], "class long, text string")
+    assert [r.text for r in near_dedup._among(unnamed, spark.createDataFrame([(7,)], "class long")).collect()][-1] == "y"
+
+
 @pytest.mark.parametrize(("percent", "trees"), [(80, 11), (85, 8)])
 def test_large_nodes_of_every_tree_are_compared(spark, monkeypatch, percent, trees):
     assert near_dedup._trees(percent) == trees and (1 - (percent / 100) ** 3) ** trees <= near_dedup.MISS
