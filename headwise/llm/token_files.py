@@ -16,14 +16,18 @@ rows of Parquet files with their place in the order, beside the frequency table;
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ PRECISION = 20
 LANES = 2048
 #: Steps between checkpoints, and ids of a block (a longer document is a block of its own).
 INTERVAL, BLOCK_IDS = 64, 1 << 18
+#: Characters of documents that a task encodes at once, or somewhat more.
+TOGETHER = 1 << 23
 END_ID = 1
 MAGIC = b"HWT1"
 _HEADER = struct.Struct("<4s6I")
@@ -131,24 +137,105 @@ def _checked(block: bytes) -> tuple:
     return tuple(head)
 
 
+#: What a tokenizer must do to texts before its merges for these to be cut into pieces.
+_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MATCHES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _MATCHES}, "behavior": "Removed", "invert": True}
+#: Kinds of characters. Two neighbours stay in one piece if the first's upper half shares a bit with the other's lower half.
+SPACE, LETTER, SIGN, APOSTROPHE, DIGIT, OPEN = 0x00, 0x11, 0x22, 0x32, 0x84, 0xFF
+_GAP = re.compile("[ \n]")
+
+
+def _starters() -> Iterator[str]:
+    """Assigned characters of some European scripts that never combine with one before them."""
+    block = [chr(c) for c in (*range(0x590), *range(0x2010, 0x2028))]
+    return (c for c in block if not unicodedata.combining(c) and unicodedata.category(c) != "Cn")
+
+
 class Tokenizer:
     """Ids of whole texts, by the tokenizers library.
 
-    Spaces and line feeds always end a token and give none, so a text's ids are those of its pieces between them, one
-    after another; pieces seen before are looked up. New pieces go to the library in groups, joined by a special token
-    of its own, which it cuts out before it normalises anything.
+    This tokenizer's matches are runs of letters, single digits, runs of signs, and some letters after an apostrophe. So
+    no token reaches over a change of kind except behind an apostrophe, and a text's ids are those of the pieces between
+    such places, one after another. What the library itself tells about single characters says where a text can be cut
+    and which letters are alike; a character that it wasn't asked about, and one before it, are never cut off or changed.
+    The pieces of many texts are named by Arrow; those not seen before go to the library in groups. Texts with a special
+    token are encoded whole, as are all texts by a tokenizer that is set up otherwise.
     """
 
     MEMO, GROUP = 300_000, 500
+    #: Characters of texts that are cut at once.
+    TOGETHER = 1 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Library.from_file(path)
         self.size = max(self.library.get_vocab_size(), END_ID + 1)
         self.memo = training.Memo(self.MEMO, self._ids)
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.mark = self._mark()
+        setup = json.loads(self.library.to_str())
+        self.cuts = self._known(setup, ByteLevel.alphabet())
+        if self.cuts:
+            self._ask()
+            spaces = {"type": "CharDelimiterSplit", "delimiter": " "}
+            setup |= {"normalizer": None, "added_tokens": [], "post_processor": None}
+            setup["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [spaces, _BYTES]}
+            #: The same merges for pieces that are one match each and normalised, with spaces between them.
+            self.merges = Library.from_str(json.dumps(setup))
+            suffix, vocab = setup["model"]["end_of_word_suffix"], setup["model"]["vocab"]
+            self.closes = np.zeros(self.size, bool)
+            self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+            # Special tokens are looked for before anything is changed, so no piece may turn into one.
+            self.cuts = all(len(self._pieces([x])[1]) > 1 for x in self.special)
+
+    def _known(self, setup: dict, alphabet: list[str]) -> bool:
+        """Whether the tokenizer is of the one kind that is cut into pieces."""
+        model, before, split = setup["model"], setup["normalizer"] or {}, setup["pre_tokenizer"] or {}
+        suffix = model.get("end_of_word_suffix")
+        return (
+            before.get("normalizers") == _NORMALIZER
+            and split.get("pretokenizers") == [_SPLIT, _BYTES]
+            and not any(setup[x] for x in ("truncation", "padding"))
+            and not any(x["normalized"] for x in setup["added_tokens"])
+            and (model["type"], model["dropout"], model["continuing_subword_prefix"]) == ("BPE", None, None)
+            # The last token of every match ends with the suffix, and no other does: no match has signs and letters.
+            and suffix == "</w>"
+            and all(x + suffix in model["vocab"] for x in alphabet)
+        )
+
+    def _ask(self) -> None:
+        """Kinds of single characters, by code unit, and what they are normalised to."""
+        self.kind, self.lower = np.full(1 << 16, OPEN, np.uint8), np.arange(1 << 16, dtype="<u2")
+        matches = lambda x: len(self.library.pre_tokenizer.pre_tokenize_str(x))
+        normal = self.library.normalizer.normalize_str
+        starters = set(_starters())
+        single: dict[int, str] = {LETTER: "", SIGN: "", DIGIT: ""}
+        for c in sorted(starters):
+            x = normal(c)
+            if x not in starters or normal(x) != x:
+                continue
+            alone = [k for k, n in ((LETTER, matches(f"a{x}a")), (SIGN, matches(f"!{x}!")), (DIGIT, matches(x * 2) - 1)) if n == 1]
+            if not matches(x):
+                self.kind[ord(c)] = SPACE
+            elif c == "'":
+                self.kind[ord(c)] = APOSTROPHE
+            elif alone:
+                self.kind[ord(c)] = alone[0]
+            if alone and x == c:
+                single[alone[0]] += c
+            if alone:
+                self.lower[ord(c)] = ord(x)
+        letters, signs, digits = (re.escape(single[k]) for k in (LETTER, SIGN, DIGIT))
+        self.one_match = re.compile(f"[{letters}]+|[{signs}]+|[{digits}]").fullmatch
 
     def _mark(self) -> tuple[str, int] | None:
         """A special token that can't run into what stands beside it, and its id."""
@@ -162,31 +249,103 @@ class Tokenizer:
                 return x.content, id_
         return None
 
-    def _each(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        if not self.mark:
-            return [array("I", ids).tobytes() for ids in self._each(pieces)]
-        mark, mark_id = self.mark
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, names: list[bytes]) -> list[bytes]:
+        if not names:
+            return []
+        pieces = b"\n\0".join(names).decode("utf-16-le").split("\n")  # a line feed is a space
+        plain = [x for x in pieces if self.one_match(x)]
+        other = list(set(pieces).difference(plain))
+        found = dict(zip(plain, self._grouped(plain, " ", self.merges), strict=True))
+        if self.mark:
+            found.update(zip(other, self._grouped(other, self.mark[0], self.library), strict=True))
+        else:
+            found.update(zip(other, self._each(other), strict=True))
+        return [found[x] for x in pieces]
+
+    def _grouped(self, pieces: list[str], between: str, library) -> list[bytes]:
+        """Ids of pieces that are given to the library in groups, as one text each."""
         groups = [pieces[i : i + self.GROUP] for i in range(0, len(pieces), self.GROUP)]
         out: list[bytes] = []
-        for group, ids in zip(groups, self._each([mark.join(g) for g in groups]), strict=True):
-            flat = np.array(ids, np.uint32)
-            ends = np.append(np.flatnonzero(flat == mark_id), len(flat))
+        joined = library.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, joined, strict=True):
+            flat = np.array(encoded.ids, np.uint32)
+            if library is self.merges:
+                ends = np.flatnonzero(self.closes[flat]) + 1
+                begins = np.append(0, ends[:-1])
+            else:
+                ends = np.append(np.flatnonzero(flat == self.mark[1]), len(flat))
+                begins = np.append(0, ends[:-1] + 1)
             if len(ends) != len(group):  # the text itself has the mark
-                out += [array("I", own).tobytes() for own in self._each(group)]
+                out += self._each(group)
                 continue
-            begins = np.append(0, ends[:-1] + 1)
             data = flat.tobytes()
             out += [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         return out
 
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All pieces, spaces left out; the places where they start, and where each text ends, in the texts' code units."""
+        units = [x.encode("utf-16-le") for x in texts]
+        text_ends = np.cumsum([len(x) // 2 + 1 for x in units])
+        text = np.frombuffer(b" \0".join([*units, b""]), "<u2")
+        kind = self.kind[text]
+        kind[:-1][(kind[1:] == OPEN) & (kind[:-1] != SPACE)] = OPEN  # it may combine with what follows
+        text = np.where(kind == OPEN, text, self.lower[text])
+        inside = kind != SPACE
+        starts = inside.copy()
+        starts[1:] &= (kind[:-1] >> 4) & kind[1:] == 0
+        kept = text[inside]
+        offsets = 2 * np.append(np.flatnonzero(starts[inside]), len(kept))
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(kept)]
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers), np.flatnonzero(starts), text_ends
+
+    def _encode_groups(self, groups: list[list[str]]) -> Iterator[np.ndarray]:
+        cut = [self._pieces(x) for x in groups]
+        named = pa.concat_arrays([x[0] for x in cut]).dictionary_encode()
+        found = self.memo.values(named.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), np.uint32)
+        codes = named.indices.to_numpy()
+        for _, starts, text_ends in cut:
+            here, codes = codes[: len(starts)], codes[len(starts) :]
+            n = sizes[here]
+            ends = np.cumsum(n)
+            ids = pool[np.repeat(first[here] - ends + n, n) + np.arange(n.sum())]
+            yield from np.split(ids, np.append(0, ends)[np.searchsorted(starts, text_ends[:-1])])
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text; a long one in parts, cut at spaces or line feeds."""
+        begin = 0
+        while found := _GAP.search(text, begin + self.TOGETHER):
+            yield text[begin : found.end()]
+            begin = found.end()
+        yield text[begin:]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, closed by END_ID."""
-        pieces = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        memo, end = self.memo.lookup(pieces), array("I", [END_ID]).tobytes()
-        return [np.frombuffer(b"".join([memo[p] for p in own]) + end, np.uint32) for own in pieces]
+        ids: list[list[np.ndarray]] = [[] for _ in texts]
+        whole: list[int] = []
+        owners: list[int] = []
+        groups: list[list[str]] = []
+        room = 0
+        for i, text in enumerate(texts):
+            if not self.cuts or any(x in (text or "") for x in self.special):
+                whole.append(i)
+                continue
+            for part in self._parts(text or ""):
+                if not groups or len(part) > room:
+                    groups.append([])
+                    room = self.TOGETHER
+                groups[-1].append(part)
+                owners.append(i)
+                room -= len(part) + 1
+        for i, own in zip(owners, self._encode_groups(groups) if groups else [], strict=True):
+            ids[i].append(own)
+        for i, own in zip(whole, self._each([texts[i] or "" for i in whole]), strict=True):
+            ids[i].append(np.frombuffer(own, np.uint32))
+        return [np.concatenate([*own, [END_ID]], dtype=np.uint32, casting="unsafe") for own in ids]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -203,6 +362,23 @@ _IDS = "part int, block int, offset long, n_ids long, doc_ids array<long>, lengt
 _BLOCKS = "part int, block int, offset long, n_ids long, doc_ids array<long>, payload binary"
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Names and texts of some batches at once, since their pieces are named together."""
+    names: list[int | None] = []
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        names += [None if x is None else int(x) for x in batch["doc_id"]]
+        own = batch["text"].tolist()
+        texts += own
+        size += sum(len(x) for x in own if x)
+        if size >= TOGETHER:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def _tokenized(path: str):
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block, offset = TaskContext.get().partitionId(), 0, 0
@@ -215,18 +391,15 @@ def _tokenized(path: str):
             values = (part, block, offset, len(flat), docs, lengths.tobytes(), flat.astype("<u4").tobytes())
             return pd.DataFrame([values], columns=["part", "block", "offset", "n_ids", "doc_ids", "lengths", "ids"])
 
-        for batch in batches:
-            names = [None if x is None else int(x) for x in batch["doc_id"]]
-            for begin in range(0, len(batch), 200):
-                texts = tokenizer(path).encode(batch["text"].iloc[begin : begin + 200].tolist())
-                for name, own in zip(names[begin : begin + 200], texts, strict=True):
-                    if ids and filled + len(own) > BLOCK_IDS:
-                        yield row()
-                        block, offset = block + 1, offset + filled
-                        ids, docs, filled = [], [], 0
-                    ids.append(own)
-                    docs.append(name)
-                    filled += len(own)
+        for names, texts in _together(batches):
+            for name, own in zip(names, tokenizer(path).encode(texts), strict=True):
+                if ids and filled + len(own) > BLOCK_IDS:
+                    yield row()
+                    block, offset = block + 1, offset + filled
+                    ids, docs, filled = [], [], 0
+                ids.append(own)
+                docs.append(name)
+                filled += len(own)
         if ids:
             yield row()
 

@@ -50,3 +50,14 @@ class Memo:
         recent.update((x, older[x]) for x in missing if x in older)
         recent.update(zip(new, self.compute(new), strict=True))
         return recent
+
+    def values(self, tokens: list) -> list:
+        """The values of tokens that are all different."""
+        found = list(map(self.recent.get, tokens))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = [tokens[i] for i in missing]
+            memo = self.lookup([new])
+            for i, token in zip(missing, new, strict=True):
+                found[i] = memo[token]
+        return found

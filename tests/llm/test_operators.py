@@ -233,6 +233,37 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
         start += len(ids)
 
 
+def test_pieces_that_differ_in_case_and_signs_are_tokenized_once(monkeypatch):
+    tokens, asked = token_files.Tokenizer(TOKENIZER), []
+    compute = tokens.memo.compute
+    monkeypatch.setattr(tokens.memo, "compute", lambda names: asked.extend(names) or compute(names))
+    texts = ["Été, thing (THING) thing! été: Thing's", "thing12, 21 \u2018thing\u2019 ÉTÉ", None, "été"]
+    want = [[*tokens.library.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert [x.tolist() for x in tokens.encode(texts)] == want
+    assert sorted(x if isinstance(x, str) else x.decode("utf-16-le") for x in asked) == sorted(
+        ["été", "thing", "'s", "1", "2", ",", "(", ")", "!", ":", "\u2018", "\u2019"]
+    )
+
+
+def test_ids_are_the_library_s_wherever_texts_are_cut(monkeypatch):
+    tokens, rnd = token_files.Tokenizer(TOKENIZER), random.Random(3)
+    ends = "<|endoftext|> <|ENDOFTEXT|>x <|endof text|> <|startoftext|>"
+    pools = ["'stremvldSTREMV aZ1!.,'", "aHTÉé\u0338\u0331\u0301 =<>'s", "\t\n\r\x0b\x1c\x85\xa0\u2003\u3000 ab1'", "İıſKÅΣσςǅẞß'S ",
+             "\u2019\u2014\u2026 s'tre Xx", "汉字がか\u3099각\u11a8 a1'", "😀\u200d👍🏽é a'\ufe0f1"]
+    texts = [ends, ends.replace("|", ""), *("".join(rnd.choices(rnd.choice(pools) + rnd.choice(pools), k=rnd.randrange(60))) for _ in range(3000))]
+    want = [[*tokens.library.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    for together in (5, 100, 1 << 20):
+        monkeypatch.setattr(token_files.Tokenizer, "TOGETHER", together)
+        assert tokens.cuts and [x.tolist() for x in tokens.encode(texts)] == want
+
+
+def test_a_tokenizer_that_keeps_spaces_gets_whole_texts():
+    tokens = token_files.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one  two\nthree", None, "", " x"]
+    want = [[*tokens.library.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert [x.tolist() for x in tokens.encode(texts)] == want
+
+
 def test_blocks_decode_from_checkpoints_and_notice_damage():
     ids = np.random.default_rng(1).zipf(1.3, 300_000).astype(np.uint32) % 1000
     coder = token_files.Coder(token_files.normalised(np.bincount(ids, minlength=1001)))
