@@ -39,8 +39,6 @@ PRECISION = 20
 LANES = 2048
 #: Steps between checkpoints, and ids of a block (a longer document is a block of its own).
 INTERVAL, BLOCK_IDS = 64, 1 << 18
-#: Characters of documents that a task encodes at once, or somewhat more.
-TOGETHER = 1 << 23
 END_ID = 1
 MAGIC = b"HWT1"
 _HEADER = struct.Struct("<4s6I")
@@ -195,7 +193,7 @@ class Tokenizer:
             self.closes = np.zeros(self.size, bool)
             self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
             # Special tokens are looked for before anything is changed, so no piece may turn into one.
-            self.cuts = all(len(self._pieces([x])[1]) > 1 for x in self.special)
+            self.cuts = all(len(self._pieces([x])[0]) > 1 for x in self.special)
 
     def _known(self, setup: dict, alphabet: list[str]) -> bool:
         """Whether the tokenizer is of the one kind that is cut into pieces."""
@@ -285,8 +283,8 @@ class Tokenizer:
             out += [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         return out
 
-    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """All pieces, spaces left out; the places where they start, and where each text ends, in the texts' code units."""
+    def _pieces(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """All pieces, spaces left out, and how many there are up to the end of each text."""
         units = [x.encode("utf-16-le") for x in texts]
         text_ends = np.cumsum([len(x) // 2 + 1 for x in units])
         text = np.frombuffer(b" \0".join([*units, b""]), "<u2")
@@ -299,21 +297,23 @@ class Tokenizer:
         kept = text[inside]
         offsets = 2 * np.append(np.flatnonzero(starts[inside]), len(kept))
         buffers = [None, pa.py_buffer(offsets), pa.py_buffer(kept)]
-        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers), np.flatnonzero(starts), text_ends
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).dictionary_encode()
+        return pieces, np.searchsorted(np.flatnonzero(starts), text_ends)
 
     def _encode_groups(self, groups: list[list[str]]) -> Iterator[np.ndarray]:
         cut = [self._pieces(x) for x in groups]
-        named = pa.concat_arrays([x[0] for x in cut]).dictionary_encode()
+        named = pa.concat_arrays([x.dictionary for x, _ in cut]).dictionary_encode()
         found = self.memo.values(named.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), np.uint32)
-        codes = named.indices.to_numpy()
-        for _, starts, text_ends in cut:
-            here, codes = codes[: len(starts)], codes[len(starts) :]
-            n = sizes[here]
+        rows = named.indices.to_numpy()
+        for pieces, text_ends in cut:
+            own, rows = rows[: len(pieces.dictionary)], rows[len(pieces.dictionary) :]
+            codes = own[pieces.indices.to_numpy()]
+            n = sizes[codes]
             ends = np.cumsum(n)
-            ids = pool[np.repeat(first[here] - ends + n, n) + np.arange(n.sum())]
-            yield from np.split(ids, np.append(0, ends)[np.searchsorted(starts, text_ends[:-1])])
+            ids = pool[np.repeat(first[codes] - ends + n, n) + np.arange(n.sum())]
+            yield from np.split(ids, np.append(0, ends)[text_ends[:-1]])
 
     def _parts(self, text: str) -> Iterator[str]:
         """A text; a long one in parts, cut at spaces or line feeds."""
@@ -362,37 +362,27 @@ _IDS = "part int, block int, offset long, n_ids long, doc_ids array<long>, lengt
 _BLOCKS = "part int, block int, offset long, n_ids long, doc_ids array<long>, payload binary"
 
 
-def _together(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int | None], list[str | None]]]:
-    """Names and texts of some batches at once, since their pieces are named together."""
-    names: list[int | None] = []
-    texts: list[str | None] = []
-    size = 0
-    for batch in batches:
-        names += [None if x is None else int(x) for x in batch["doc_id"]]
-        own = batch["text"].tolist()
-        texts += own
-        size += sum(len(x) for x in own if x)
-        if size >= TOGETHER:
-            yield names, texts
-            names, texts, size = [], [], 0
-    if names:
-        yield names, texts
+def _staged_type(size: int) -> str:
+    """Of ids between the steps."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _tokenized(path: str):
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block, offset = TaskContext.get().partitionId(), 0, 0
+        kind = _staged_type(tokenizer(path).size)
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         filled = 0
 
         def row() -> pd.DataFrame:
             flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids], "<u4")
-            values = (part, block, offset, len(flat), docs, lengths.tobytes(), flat.astype("<u4").tobytes())
+            values = (part, block, offset, len(flat), docs, lengths.tobytes(), flat.astype(kind).tobytes())
             return pd.DataFrame([values], columns=["part", "block", "offset", "n_ids", "doc_ids", "lengths", "ids"])
 
-        for names, texts in _together(batches):
-            for name, own in zip(names, tokenizer(path).encode(texts), strict=True):
+        for batch in batches:
+            names = [None if x is None else int(x) for x in batch["doc_id"]]
+            for name, own in zip(names, tokenizer(path).encode(batch["text"].tolist()), strict=True):
                 if ids and filled + len(own) > BLOCK_IDS:
                     yield row()
                     block, offset = block + 1, offset + filled
@@ -411,7 +401,7 @@ def _counted(size: int):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch["ids"]:
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
+                total += np.bincount(np.frombuffer(ids, _staged_type(size)), minlength=size)
         found = np.flatnonzero(total)
         yield pd.DataFrame({"id": found.astype(np.int64), "n": total[found]})
 
@@ -420,10 +410,10 @@ def _counted(size: int):
 
 def _encoded(slots: np.ndarray):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(slots)
+        coder, kind = Coder(slots), _staged_type(len(slots))
         for batch in batches:
             payload = [
-                coder.encode(np.frombuffer(ids, "<u4"), np.frombuffer(lengths, "<u4"))
+                coder.encode(np.frombuffer(ids, kind), np.frombuffer(lengths, "<u4"))
                 for ids, lengths in zip(batch["ids"], batch["lengths"], strict=True)
             ]
             yield batch.drop(columns=["ids", "lengths"]).assign(payload=payload)

@@ -35,6 +35,9 @@ def sample_evenly(rows: DataFrame, by: str, most: int) -> DataFrame:
 class Memo:
     """Values of tokens, computed for many at once and remembered; what was used lately survives when room runs out."""
 
+    #: `values` doesn't remember longer tokens.
+    LONGEST = 128
+
     def __init__(self, size: int, compute: Callable[[list[str]], list]):
         self.size, self.compute = size, compute
         self.recent: dict = {}
@@ -42,8 +45,7 @@ class Memo:
 
     def lookup(self, lists: list[list[str]]) -> dict:
         """A dict with the values of all tokens in the lists."""
-        if len(self.recent) > self.size:
-            self.older, self.recent = self.recent, {}
+        self._make_room()
         recent, older = self.recent, self.older
         missing = {x for own in lists for x in own if x not in recent}
         new = [x for x in missing if x not in older]
@@ -52,12 +54,20 @@ class Memo:
         return recent
 
     def values(self, tokens: list) -> list:
-        """The values of tokens that are all different."""
+        """The values of tokens that are all different; no value is None."""
+        self._make_room()
         found = list(map(self.recent.get, tokens))
         missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            new = [tokens[i] for i in missing]
-            memo = self.lookup([new])
-            for i, token in zip(missing, new, strict=True):
-                found[i] = memo[token]
+        names = [tokens[i] for i in missing]
+        values = list(map(self.older.get, names))
+        computed = iter(self.compute([x for x, value in zip(names, values, strict=True) if value is None]))
+        values = [next(computed) if x is None else x for x in values]
+        short = [(x, value) for x, value in zip(names, values, strict=True) if len(x) <= self.LONGEST]
+        self.recent.update(short[: self.size])
+        for i, x in zip(missing, values, strict=True):
+            found[i] = x
         return found
+
+    def _make_room(self) -> None:
+        if len(self.recent) > self.size:
+            self.older, self.recent = self.recent, {}
